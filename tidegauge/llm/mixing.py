@@ -111,7 +111,8 @@ def counted(documents: DataFrame, targets: DataFrame, folder: str = tok.TOKENIZE
 def _walk(seed: int, last: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(last), *[abs(int(x)) for x in pdf[["_s", "shard"]].iloc[0]]])
-        pdf = pdf.sort_values(["_h", "doc_id"], kind="stable", ignore_index=True)
+        # Large documents first: those left for the landing are then the smallest.
+        pdf = pdf.sort_values(["n_tokens", "_h", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
         p = flight(pdf["p"].to_numpy(), pdf["n_tokens"].to_numpy(), rng)
         pdf["p"] = landing(p, rng) if last else p
         return pdf

@@ -7,8 +7,9 @@ vector of fractional inclusion probabilities walks within the null space of the
 balancing constraints (documents and tokens), so both totals stay as they are,
 until every coordinate is 0 or 1 but for as many as there are constraints.
 Blocks of a source walk in parallel; what they leave undecided, two documents a
-block, walks once more per source, and the last few land with the token
-constraint dropped.
+block, walks once more per source together with a bounded reserve, the last few
+land with the token constraint dropped, and documents of the reserve settle the
+tokens that a large document landing either way leaves over.
 
 Cases: documents of no target source are left out; null texts have no tokens;
 a target without documents (or tokens) is short and contributes nothing; null
@@ -27,6 +28,8 @@ from tidegauge.llm import tokens as tok
 from tidegauge.session import durable
 
 BLOCK = 20_000
+#: Documents of a source (about) that wait for its last walk.
+RESERVE = 2_000
 MAX_SOURCES = 10_000
 EPS = 1e-9
 
@@ -80,6 +83,22 @@ def landing(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return p
 
 
+def settle(p: np.ndarray, q: np.ndarray, t: np.ndarray, most: int = 100) -> np.ndarray:
+    """Move single decisions ``q`` while that brings sum(q*t) nearer to sum(p*t)."""
+    q, free = q.copy(), (p > 0) & (p < 1)
+    off = float(((q - p) * t).sum())
+    for _ in range(most):
+        able = np.flatnonzero(free & (q == (1.0 if off > 0 else 0.0)) & (t > 0))
+        if not len(able):
+            break
+        k = able[np.argmin(np.abs(t[able] - abs(off)))]
+        after = off - t[k] if off > 0 else off + t[k]
+        if abs(after) >= abs(off):
+            break
+        q[k], off = 1.0 - q[k], after
+    return q
+
+
 def plan(counted: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per target source: weight, max_repeats, docs, tokens, wanted,
     copies (expected per document) and ``short``: weight * T > max_repeats * tokens.
@@ -111,10 +130,18 @@ def counted(documents: DataFrame, targets: DataFrame, folder: str = tok.TOKENIZE
 def _walk(seed: int, last: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(last), *[abs(int(x)) for x in pdf[["_s", "shard"]].iloc[0]]])
-        # Large documents first: those left for the landing are then the smallest.
-        pdf = pdf.sort_values(["n_tokens", "_h", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        p = flight(pdf["p"].to_numpy(), pdf["n_tokens"].to_numpy(), rng)
-        pdf["p"] = landing(p, rng) if last else p
+        if not last:
+            kept = pdf["_h"].rank(method="first") <= -(-RESERVE // int(pdf["shards"].iloc[0]))
+            pdf = pd.concat([pdf[~kept], pdf[kept]])
+            n = int((~kept).sum())
+            pdf["reserve"] = [False] * n + [True] * (len(pdf) - n)
+        pdf = pdf.sort_values(["reserve", "n_tokens", "_h", "doc_id"], ascending=[True, False, True, True], kind="stable", ignore_index=True)
+        p, t = pdf["p"].to_numpy(), pdf["n_tokens"].to_numpy().astype(float)
+        if last:
+            pdf["p"] = settle(p, landing(flight(p, t, rng), rng), t)
+        else:
+            n = int((~pdf["reserve"]).sum())
+            pdf["p"] = np.concatenate((flight(p[:n], t[:n], rng), p[n:]))
         return pdf
 
     return run
@@ -137,8 +164,10 @@ def mix(counted_docs: DataFrame, sources: DataFrame, seed: int = 0, block: int =
         F.xxhash64("doc_id", F.lit(seed)).alias("_h"),
         F.xxhash64("source").alias("_s"),
         F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("_shards")).cast("int").alias("shard"),
+        F.col("_shards").alias("shards"),
+        F.lit(False).alias("reserve"),
     )
-    schema = "doc_id bigint, source string, n_tokens bigint, whole int, p double, _h bigint, _s bigint, shard int"
+    schema = "doc_id bigint, source string, n_tokens bigint, whole int, p double, _h bigint, _s bigint, shard int, shards int, reserve boolean"
     flown = durable(units.groupBy("source", "shard").applyInPandas(_walk(seed, False), schema))
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
     landed = flown.filter(open_).withColumn("shard", F.lit(0)).groupBy("source").applyInPandas(_walk(seed, True), schema)

@@ -66,7 +66,7 @@ if __name__ == "__main__":
                 ok = ca == cb and a == b
                 note = f"{len(a)} rows"
                 if not ok:
-                    note += f" vs {len(b)}; {ca} {cb}; only spark {[x for x in a if x not in set(b)][:3]}; only sql {[x for x in b if x not in set(a)][:3]}"
+                    note += f" vs {len(b)}; {ca} {cb}; only spark {sorted(set(a) - set(b), key=repr)[:3]}; only sql {sorted(set(b) - set(a), key=repr)[:3]}"
             else:
                 ok, note = True, f"{qs[n](spark, d).count()} rows, no SQL"
         except Exception as e:  # noqa: BLE001

@@ -47,9 +47,9 @@ PROGRAMS: dict[str, tuple[str, str | None]] = {
  max(value) AS largest FROM e GROUP BY event_type, trunc(start / 3600)""",
     ),
     "tumbling_weekly": (
-        """FROM lineitem SELECT l_suppkey, start // 604800 AS week, SUM l_quantity AS qty, AVG l_extendedprice AS price
+        """FROM lineitem SELECT l_suppkey, start // 604800 AS week, SUM l_quantity AS qty, MAX l_extendedprice AS price
  GROUP BY l_suppkey, start // 604800 COMMIT AFTER in.start > (out.week + 2) * 604800""",
-        f"""WITH {_L} SELECT l_suppkey, trunc(start / 604800) AS week, sum(l_quantity) AS qty, avg(l_extendedprice) AS price
+        f"""WITH {_L} SELECT l_suppkey, trunc(start / 604800) AS week, sum(l_quantity) AS qty, max(l_extendedprice) AS price
  FROM l GROUP BY ALL""",
     ),
     "map_arithmetic": (

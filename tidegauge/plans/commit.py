@@ -14,6 +14,7 @@ anew.  A condition that mentions the input is also tried on all other groups.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -66,7 +67,7 @@ def compiled(e: E) -> Callable[[Ctx], Any]:
         n = e.at["name"]
         return lambda c: c.globals.setdefault(n, {})
     if op.startswith("s:"):
-        k = id(e)
+        k = e.at["number"]
         return lambda c: c.states[k].result()
     args = [compiled(a) for a in e.args]
     if op == "imm":
@@ -111,10 +112,11 @@ class Clause:
     def update(self, c: Ctx, local: dict, everywhere: dict) -> Any:
         for n, args in zip(self.nodes, self.args):
             home = local if n.at["life"] == "local" else everywhere
-            s = home.get(id(n))
+            k = n.at["number"]
+            s = home.get(k)
             if s is None:
-                s = home[id(n)] = stateful.REGISTRY[n.op].state(n)
-            c.states[id(n)] = s
+                s = home[k] = stateful.REGISTRY[n.op].state(n)
+            c.states[k] = s
             s.update([a(c) for a in args])
         return self.eval(c)
 
@@ -201,6 +203,14 @@ class Machine:
                     if self.r.flush:
                         del self.groups[k]
 
+    def dump(self) -> bytes:
+        """What must be kept between micro-batches."""
+        return pickle.dumps((self.groups, self.everywhere, self.last, self.global_last, self.globals))
+
+    def load(self, data: bytes) -> Machine:
+        self.groups, self.everywhere, self.last, self.global_last, self.globals = pickle.loads(data)
+        return self
+
     def rest(self) -> Iterator[dict]:
         """Groups that were never committed, for batches that flush at their end."""
         for g in list(self.groups.values()):

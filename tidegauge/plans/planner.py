@@ -186,8 +186,8 @@ class Engine:
     committed when a batch ends, where a stream would wait for more input.
     """
 
-    def __init__(self, spark: SparkSession, flush_at_end: bool = True, generate: int = 100) -> None:
-        self.spark, self.flush_at_end, self.generate = spark, flush_at_end, generate
+    def __init__(self, spark: SparkSession, flush_at_end: bool = True, generate: int = 100, lateness: float | None = None) -> None:
+        self.spark, self.flush_at_end, self.generate, self.lateness = spark, flush_at_end, generate, lateness
         self.tables: dict[str, tuple[DataFrame, list[str], set[str]]] = {}
         self.plans: dict[str, str] = {}
 
@@ -305,6 +305,8 @@ class Run:
         r = Resolver(op, inputs, self.params, self.program.globals).run()
         kind = self.kind(op, r)
         self.engine.plans[name] = kind
+        if df.isStreaming and kind in ("running", "blocks"):
+            kind = self.engine.plans[name] = "machine"
         needs = ordered or kind in ("running", "machine", "blocks") or kind == "grouped" and self.picks(r)
         if needs and op.parents:
             df, _ = self.parents(op, True, chain)
@@ -412,6 +414,11 @@ class Run:
         if r.where is not None:
             df = df.filter(cs.col(r.where))
         closing = None
+        if df.isStreaming:
+            from tidegauge.streaming.windows import watermarked
+
+            df, extra = watermarked(r, df, cs, self.engine.lateness)
+            return self.fold(r, df, cs, [cs.col(k) for k in r.keys], ordered, extra)
         if not self.engine.flush_at_end:
             t = time_bound(r)
             closing = df.agg(F.max(cs.col(t)).alias("m")).collect()[0].m
@@ -423,7 +430,7 @@ class Run:
             out = out.filter(scalar.REGISTRY[r.commit.op].col(r.commit, F.lit(closing), c.col(bound)))
         return out
 
-    def fold(self, r: Resolved, df: DataFrame, cs: Columns, keys: list[Column], ordered: bool) -> DataFrame:
+    def fold(self, r: Resolved, df: DataFrame, cs: Columns, keys: list[Column], ordered: bool, extra: list[Column] | None = None) -> DataFrame:
         """One row per group: partial aggregates of every state, then the fields."""
         names = [f"__k{i}" for i in range(len(keys))]
         df = df.withColumns(dict(zip(names, keys))) if keys else df
@@ -470,7 +477,8 @@ class Run:
                         aggs.append(F.max_by(src, order).alias(name))
         if ordered and ORD in df.columns:
             aggs.append(F.max(ORD).alias(ORD))
-        out = df.groupBy(*names).agg(*aggs) if aggs else df.select(*names).distinct()
+        by = [*names, *(extra or [])]
+        out = df.groupBy(*by).agg(*aggs) if aggs else df.select(*by).distinct()
 
         def final(e: E) -> E:
             if e.key() in by_key:
@@ -505,7 +513,10 @@ class Run:
 
     def machine(self, r: Resolved, df: DataFrame, ordered: bool) -> DataFrame:
         """The commit machine over rows sorted by arrival within each key."""
-        r = prune(r)
+        if df.isStreaming:
+            from tidegauge.streaming.commits import commit_stream
+
+            return commit_stream(r, df, ordered)
         split = [(n, e) for n, e in r.fields if any(x.op == "split" for x in e.walk())]
         if split:
             raise LanguageError("SPLIT needs an operation of its own before recursive or grouped ones")
@@ -591,10 +602,6 @@ class Run:
         return df.select(*columns)
 
 
-def prune(r: Resolved) -> Resolved:
-    return r
-
-
 def same(a: Any, b: Any) -> bool:
     if a is None or b is None:
         return a is b

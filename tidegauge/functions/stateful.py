@@ -63,12 +63,14 @@ class State:
     """``add`` sees the operands of inputs that are not skipped, ``value`` is asked after."""
 
     def __init__(self, e: E) -> None:
-        self.e, self.poisoned, self.seen = e, False, False
+        self.e, self.poisoned, self.seen, self.skipped = e, False, False, False
 
     def update(self, v: list[Any]) -> None:
         sf = REGISTRY[self.e.op]
+        self.skipped = False
         if v[sf.main] is None:
             if self.e.at.get("nulls") != "keep":
+                self.skipped = True
                 return
             if self.e.op in FOLDS:
                 self.poisoned = True
@@ -80,6 +82,8 @@ class State:
         raise NotImplementedError
 
     def result(self) -> Any:
+        if self.skipped and self.e.op in PER_INPUT:
+            return False if self.e.t.kind == "bool" else None
         return None if self.poisoned else self.value()
 
     def value(self) -> Any:
@@ -370,6 +374,8 @@ class SeasonAvg(State):
         self.b.append(float(v))
 
     def value(self) -> Any:
+        if not self.seen:
+            return None
         return sum(self.b[-1 - self.p * i] for i in range(1, self.k + 1)) / self.k
 
 
@@ -593,7 +599,7 @@ def _remember_win(e: E, w: Win, fpr: Column, d: Column, x: Column, t: Column) ->
     if e.op == "s:recall":
         return None
     then = F.lag(t.cast("double")).over(w.by(x).orderBy(*w.order))
-    return F.coalesce(t - then <= d, F.lit(False))
+    return F.coalesce(x.isNotNull() & (t - then <= d), F.lit(False))
 
 
 for _n in ("remember", "recall"):
@@ -814,6 +820,8 @@ REGISTRY["s:top"] = Sf(
     lambda e: {"list": arr(e.args[1].t), "is": BOOL.nullable(False), "rank": T("i64")}[e.at["out"]], Top, 1
 )
 
+#: What these say of an input is nothing (or false) where the input was skipped.
+PER_INPUT = {"s:distinct", "s:one_out_of", "s:every", "s:remember", "s:recall"}
 FOLDS = {"s:min", "s:max", "s:sum", "s:avg", "s:and", "s:or", "s:bitand", "s:bitor", "s:bitxor", "s:count"}
 IMMEDIATE = FOLDS | {"s:first", "s:last", "s:group", "s:distinct"}
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -535,22 +534,22 @@ class Run:
             rows = df.withColumns(dict(zip(names, [cs.col(k) for k in r.keys]))).repartition(*names).sortWithinPartitions(*names, ORD).select(*[f"`{c}`" for c in used], ORD, *names)
         at_end = self.engine.flush_at_end and r.commit is not None and not (r.commit.op == "lit") and r.flush and time_bound(r) is not None
         out_types = [(n, e.t) for n, e in r.fields]
-        order_names = [f.name for f in ord_type.fields]
         keyed = not spans
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[Any]) -> Iterator[Any]:
+            import pyarrow as pa
+            from pyspark.sql.pandas.types import to_arrow_type
+
             m = Machine(r)
-            columns = [f"__f_{n}" for n, _ in out_types]
+            kinds = [to_arrow_type(f.dataType) for f in schema.fields]
             key: Any = None
 
             def read() -> Iterator[dict]:
-                for pdf in frames:
-                    if not len(pdf):
-                        continue
-                    lists = {c: [from_spark(clean(v), types[c]) for v in pdf[c]] for c in used}
-                    orders = pdf[ORD].to_dict("records") if isinstance(pdf[ORD], pd.DataFrame) else list(pdf[ORD])
-                    keys = list(zip(*[pdf[c] for c in pdf.columns if c.startswith("__k")])) if keyed else [None] * len(pdf)
-                    for i in range(len(pdf)):
+                for batch in batches:
+                    lists = {c: [from_spark(v, types[c]) for v in batch[c].to_pylist()] for c in used}
+                    orders = batch[ORD].to_pylist()
+                    keys = list(zip(*[batch[c].to_pylist() for c in batch.schema.names if c.startswith("__k")])) if keyed else [None] * batch.num_rows
+                    for i in range(batch.num_rows):
                         row = {c: lists[c][i] for c in used}
                         row[ORD] = orders[i]
                         row["__key"] = keys[i]
@@ -559,11 +558,13 @@ class Run:
             stream = sorting(read(), *r.sort) if r.sort else read()
             buffer: list[list] = []
 
-            def frame() -> pd.DataFrame:
-                data = {c: pd.Series([b[i] for b in buffer], dtype=object) for i, c in enumerate(columns)}
-                data[ORD] = pd.Series([b[-1] for b in buffer], dtype=object)
+            def record(out: dict, order: Any) -> None:
+                buffer.append([*(to_spark(out[n], t) for n, t in out_types), order])
+
+            def batch_of() -> Any:
+                columns = [pa.array([b[i] for b in buffer], k) for i, k in enumerate(kinds)]
                 buffer.clear()
-                return pd.DataFrame(data)
+                return pa.RecordBatch.from_arrays(columns, schema.names)
 
             last: Any = None
             for row in stream:
@@ -571,23 +572,22 @@ class Run:
                     # Keys come one after the other: a key that is over leaves no state behind.
                     if at_end:
                         for out in m.rest():
-                            buffer.append([*(to_spark(out[n], t) for n, t in out_types), last])
+                            record(out, last)
                     m.groups.clear()
                     m.last.clear()
                     key = row["__key"]
                 last = row[ORD]
                 for out in m.step(row):
-                    buffer.append([*(to_spark(out[n], t) for n, t in out_types), last])
+                    record(out, last)
                 if len(buffer) >= 5000:
-                    yield frame()
+                    yield batch_of()
             if at_end:
                 for out in m.rest():
-                    buffer.append([*(to_spark(out[n], t) for n, t in out_types), last])
+                    record(out, last)
             if buffer:
-                yield frame()
+                yield batch_of()
 
-        del order_names
-        return rows.mapInPandas(run, schema)
+        return rows.mapInArrow(run, schema)
 
     def finish(self, r: Resolved, df: DataFrame, ordered: bool) -> DataFrame:
         """Public fields under their names, with type, units and doc in the metadata."""
@@ -608,17 +608,6 @@ def same(a: Any, b: Any) -> bool:
     return len(a) == len(b) and all(x == y or x is y or x != x and y != y for x, y in zip(a, b))
 
 
-def clean(v: Any) -> Any:
-    """Pandas' spellings of values back to Python's."""
-    if v is None or v is pd.NaT:
-        return None
-    if hasattr(v, "tolist") and not isinstance(v, (bytes, str)):
-        return v.tolist()
-    if isinstance(v, pd.Timestamp):
-        return v.timestamp()
-    return v
-
-
 def bare(e: E) -> Iterator[E]:
     """Nodes of an expression outside of its states, operators before operands
     (a whole key expression comes before its parts)."""

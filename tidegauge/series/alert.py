@@ -29,9 +29,11 @@ def judged(df: DataFrame, spec: dict) -> DataFrame:
         x = reaggregate(x, keys, step, [column], {column: spec.get("aggregate", "avg")}, start)
     x = x.filter(simple_filter(spec.get("having", [])))
     order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(start)
+    # Ranges of time are in whole microseconds.
+    ranged = Window.partitionBy(*(keys or [F.lit(0)])).orderBy((F.col(start) * 1e6).cast("bigint"))
     value = F.col(column).cast("double")
     if b := spec.get("baseline"):
-        past = order.rangeBetween(-float(b["avg_window"]), -1e-6)
+        past = ranged.rangeBetween(-int(float(b["avg_window"]) * 1e6), -1)
         x = x.withColumn("_base", F.percentile_approx(value, float(b.get("percentile", 50)) / 100, 10_000).over(past))
         far = float(b["max_distance"]) * (F.abs("_base") if b.get("relative", True) else F.lit(1.0))
         x = x.withColumn("_v", F.abs(value - F.col("_base"))).withColumn("_most", far).withColumn("_accept", far * float(b.get("recovery", 1.0)))
@@ -43,7 +45,7 @@ def judged(df: DataFrame, spec: dict) -> DataFrame:
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("ok", F.coalesce(F.last(F.when(good, True).when(bad, False), ignorenulls=True).over(upto), F.lit(True)))
     span = float(spec.get("duration") or 0)
-    share = F.avg((~F.col("ok")).cast("int")).over(order.rangeBetween(-span, 0)) if span else (~F.col("ok")).cast("double")
+    share = F.avg((~F.col("ok")).cast("int")).over(ranged.rangeBetween(-int(span * 1e6), 0)) if span else (~F.col("ok")).cast("double")
     x = x.withColumn("bad_share", share).withColumn("firing", F.col("bad_share") >= float(spec.get("ratio", 1.0)))
     return x.select(*keys, start, F.col(column).alias("value"), "ok", "bad_share", "firing")
 

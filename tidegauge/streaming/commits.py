@@ -21,7 +21,7 @@ from tidegauge.plans.resolve import Resolved, mentions, states_of
 
 
 def commit_stream(r: Resolved, df: DataFrame, ordered: bool) -> DataFrame:
-    from tidegauge.plans.planner import ORD, Columns, clean, from_spark, to_spark
+    from tidegauge.plans.planner import ORD, Columns, from_spark, to_spark
 
     exprs = [*(e for _, e in r.fields), *([r.where] if r.where else []), *([r.commit] if r.commit else [])]
     states = [s for e in exprs for s in states_of(e)]
@@ -31,7 +31,9 @@ def commit_stream(r: Resolved, df: DataFrame, ordered: bool) -> DataFrame:
     cs = Columns({})
     keys = [F.lit(0).alias("__k0")] if spans else [cs.col(k).alias(f"__k{i}") for i, k in enumerate(r.keys)]
     names = [f"__k{i}" for i in range(len(keys))]
-    rows = df.select(*keys, *[f"`{c}`" for c in used], ORD)
+    # Packed into a struct, nulls stay nulls and integers exact on their way through pandas.
+    packed = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(used)], F.lit(0).alias("none")).alias("__row")
+    rows = df.select(*keys, packed, ORD)
     order = df.schema[ORD].dataType
     schema = S.StructType([S.StructField(f"__f_{n}", spark_type(e.t)) for n, e in r.fields] + [S.StructField(ORD, order)])
     out_types = [(n, e.t) for n, e in r.fields]
@@ -42,10 +44,8 @@ def commit_stream(r: Resolved, df: DataFrame, ordered: bool) -> DataFrame:
             m.load(bytes(state.get[0]))
         inputs: list[tuple] = []
         for pdf in frames:
-            orders = pdf[ORD].to_dict("records") if isinstance(pdf[ORD], pd.DataFrame) else list(pdf[ORD])
-            orders = [o.asDict() if hasattr(o, "asDict") else o for o in orders]
-            lists = {c: [from_spark(clean(v), types[c]) for v in pdf[c]] for c in used}
-            inputs += [(tuple(o.values()) if isinstance(o, dict) else tuple(o), o, {c: lists[c][i] for c in used}) for i, o in enumerate(orders)]
+            for o, x in zip(values_of(pdf[ORD]), values_of(pdf["__row"])):
+                inputs.append((tuple(o.values()), o, {c: from_spark(x[f"c{i}"], types[c]) for i, c in enumerate(used)}))
         inputs.sort(key=lambda x: x[0])
         found: list[list[Any]] = []
         for _, o, row in inputs:
@@ -56,3 +56,10 @@ def commit_stream(r: Resolved, df: DataFrame, ordered: bool) -> DataFrame:
         yield pd.DataFrame({c: pd.Series([f[i] for f in found], dtype=object) for i, c in enumerate(columns)})
 
     return rows.groupBy(*names).applyInPandasWithState(step, schema, "machine binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def values_of(structs: Any) -> list[dict]:
+    """A struct column as dicts, however it came."""
+    if isinstance(structs, pd.DataFrame):
+        return structs.to_dict("records")
+    return [x.asDict() if hasattr(x, "asDict") else dict(x) for x in structs]

@@ -291,6 +291,6 @@ UNION SELECT metric_id FROM rl JOIN vary ON rl.host = vary.host AND rl.plugin_na
     "p7_wide": f"""WITH {_READINGS}, c AS (SELECT host, CAST(round("time" * 1000) AS BIGINT) AS time_ms, attribute,
  arg_min("values"[1], struct_pack(a := recv_time, b := metric_id)) AS v, count(DISTINCT "values"[1]) > 1 AS differing FROM r
  WHERE plugin_name = 'memory' AND isfinite("values"[1]) AND attribute IS NOT NULL GROUP BY ALL)
- SELECT host, time_ms, {", ".join(f"CAST(trunc(max(v) FILTER (WHERE attribute = '{a}')) AS BIGINT) AS {a}" for a in sorted(MEMORY_TYPES))},
+ SELECT host, time_ms, {", ".join(f"TRY_CAST(trunc(max(v) FILTER (WHERE attribute = '{a}')) AS BIGINT) AS {a}" for a in sorted(MEMORY_TYPES))},
  coalesce(string_agg(attribute, ',' ORDER BY attribute) FILTER (WHERE differing), '') AS conflicts FROM c GROUP BY ALL""",
 }

@@ -17,6 +17,7 @@ from typing import Any
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from tidegauge.functions.scalar import div, div_col, numeric, wrapped
 from tidegauge.lang.tree import E, LanguageError
@@ -676,9 +677,9 @@ def _largest_win(e: E, w: Win, n: Column, but: Column, x: Column, *by: Column) -
 def _largest_agg(e: E, o: Column, n: Column, but: Column, x: Column, *by: Column) -> Column:
     k, down = int(const(e.args[0])), e.at.get("down")
     row = F.struct(*[c.alias(f"b{i}") for i, c in enumerate(by)], o.alias("o"), x.alias("v"))
-    rows = F.sort_array(F.collect_list(F.when(x.isNotNull(), row) if _skips(e) else row), asc=not down)
-    kept = F.slice(rows, F.greatest(F.size(rows) - k + 1, F.lit(1)), k)
-    return _sized(e, F.transform(kept, lambda s: s["v"]))
+    # A bounded heap per group, kept through partial aggregation: extremes first.
+    best = InternalFunction.collect_top_k(F.when(x.isNotNull(), row) if _skips(e) else row, k, bool(down))
+    return _sized(e, F.transform(F.reverse(best), lambda s: s["v"]))
 
 
 REGISTRY["s:largest"] = Sf(lambda e: arr(e.args[2].t).nullable(), Largest, 2, _largest_win, _largest_agg)

@@ -460,6 +460,8 @@ class Run:
                 name = f"__s{len(cs.states)}"
                 if s.op == "s:count" and s.args[0].op == "s:distinct":
                     c = F.count_distinct(pre.col(s.args[0].args[0]))
+                elif s.op == "s:group" and ranked(e, s):
+                    c = F.collect_list(pre.col(s.args[0]))
                 else:
                     c = stateful.REGISTRY[s.op].agg(s, order, *[pre.col(a) for a in s.args])
                 aggs.append(c.alias(name))
@@ -628,7 +630,13 @@ def rests(e: E, keys: set[str], r: Resolved) -> bool:
 
 
 def counted(e: E, s: E) -> bool:
-    return counts_distinct(e, s)
+    return counts_distinct(e, s) or s.op == "s:group" and ranked(e, s)
+
+
+def ranked(e: E, s: E) -> bool:
+    """GROUP x of which only percentiles are taken: its order does not matter."""
+    users = [x for x in e.walk() if any(a is s for a in x.args)]
+    return bool(users) and all(u.op == "percentile" and u.args[1] is s for u in users) and s.at.get("nulls") != "keep"
 
 
 def counts_distinct(e: E, d: E) -> bool:

@@ -76,27 +76,40 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return c.filter(kmv.estimate(F.col("n"), F.col("kth")) >= 100).select("utc_day", "addr", "counted")
 
 
-SETS = [["utc_day"], ["source"], ["utc_day", "source"], ["addr"], ["utc_day", "addr"], ["utc_day", "source", "addr"]]
+SETS = [["utc_day"], ["source"], ["utc_day", "source"], ["addr"], ["utc_day", "addr"]]
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     """Distinct peers and peer ports for days, exporters, senders and combinations,
-    with 95 % bounds; every coarser sketch is merged from the finest ones' hashes."""
+    with 95 % bounds; every coarser sketch is merged from the finest ones' hashes.
+
+    Shuffled rows name their grouping and what they count by a byte."""
     keys = ["utc_day", "source", "addr"]
-    finest = kmv.smallest(_contacts(spark, d), [*keys, "counted"])
+    contacts = _contacts(spark, d).withColumn("_c", (F.col("counted") == "port").cast("tinyint"))
+    finest = kmv.smallest(contacts, [*keys, "_c"])
     kinds = dict(finest.dtypes)
     groups = F.array(*[
         F.struct(
-            F.lit(",".join(s)).alias("grouping"),
+            F.lit(i).cast("tinyint").alias("_g"),
             *[(F.col(k) if k in s else F.lit(None).cast(kinds[k])).alias(k) for k in keys],
         )
-        for s in SETS
+        for i, s in enumerate(SETS)
     ])
-    rows = finest.select("counted", "h", F.explode(groups).alias("g")).select("g.*", "counted", "h")
-    group = ["grouping", *keys, "counted"]
-    n = kmv.counts(rows, group)
+    rows = finest.select("_c", "h", F.explode(groups).alias("g")).select("g.*", "_c", "h")
+    coarse = kmv.counts(rows, ["_g", *keys, "_c"])
+    # The finest groups are sketched already, and partitioned by their keys.
+    fine = finest.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("kth"))
+    n = coarse.unionByName(fine.withColumn("_g", F.lit(len(SETS)).cast("tinyint")))
+    names = F.array(*[F.lit(",".join(s)) for s in [*SETS, keys]])
     lo, hi = kmv.bounds(F.col("n"), F.col("kth"))
-    return n.select(*group, kmv.estimate(F.col("n"), F.col("kth")).alias("estimate"), lo.alias("lower"), hi.alias("upper"))
+    return n.select(
+        F.get(names, F.col("_g").cast("int")).alias("grouping"),
+        *keys,
+        F.when(F.col("_c") == 1, "port").otherwise("addr").alias("counted"),
+        kmv.estimate(F.col("n"), F.col("kth")).alias("estimate"),
+        lo.alias("lower"),
+        hi.alias("upper"),
+    )
 
 
 def p3_exporters(spark: SparkSession, d: str) -> DataFrame:

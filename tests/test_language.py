@@ -85,19 +85,19 @@ def test_program_parts():
 
 def test_programs(spark):
     n123 = spark.createDataFrame([(1, True, "one"), (2, False, "two"), (3, True, None)], "n long, b boolean, name string")
-    e = Engine(spark, generate=12).table("fixtures/n123/csv", n123, ["n"])
+    e = Engine(spark, generate=12).table("numbers/small", n123, ["n"])
     q = lambda text, **p: [tuple(r) for r in e.query(text, **p).collect()]
-    assert q("FROM fixtures/n123/csv SELECT n, moveavg(1, n) AS a, avg lag latest 1 n AS b, moveavg(2, n) AS c, avg lag latest 2 n AS d COMMIT AFTER n = 3") == [(3, 2.0, 2.0, 1.5, 1.5)]
-    assert q("FROM fixtures/n123/csv SELECT SUM n COMMIT BEFORE sum_n > 4") == [(3,)]
-    assert q("FROM fixtures/n123/csv SELECT OR (not b) AS x COMMIT AFTER sum 1 = 2") == [(True,)]
-    assert sorted(q("FROM fixtures/n123/csv SELECT n, lag n AS l, lag(2, n) AS m")) == [(1, None, None), (2, 1, None), (3, 2, 1)]
-    assert sorted(q('FROM fixtures/n123/csv SELECT name |? "three" AS x')) == [("one",), ("three",), ("two",)]
+    assert q("FROM numbers/small SELECT n, moveavg(1, n) AS a, avg lag latest 1 n AS b, moveavg(2, n) AS c, avg lag latest 2 n AS d COMMIT AFTER n = 3") == [(3, 2.0, 2.0, 1.5, 1.5)]
+    assert q("FROM numbers/small SELECT SUM n COMMIT BEFORE sum_n > 4") == [(3,)]
+    assert q("FROM numbers/small SELECT OR (not b) AS x COMMIT AFTER sum 1 = 2") == [(True,)]
+    assert sorted(q("FROM numbers/small SELECT n, lag n AS l, lag(2, n) AS m")) == [(1, None, None), (2, 1, None), (3, 2, 1)]
+    assert sorted(q('FROM numbers/small SELECT name |? "three" AS x')) == [("one",), ("three",), ("two",)]
     assert q("YIELD 1 + (previous.t |? 0) AS t EVERY 10ms")[-1] == (12,)
-    r = e.run("PARAMETER p u16 DEFAULTS TO 2; DEFINE a AS FROM fixtures/n123/csv SELECT n, b; DEFINE c AS FROM a SELECT n WHERE n >= p", p=3)
+    r = e.run("PARAMETER p u16 DEFAULTS TO 2; DEFINE a AS FROM numbers/small SELECT n, b; DEFINE c AS FROM a SELECT n WHERE n >= p", p=3)
     assert [x.n for x in r["c"].collect()] == [3]
     words = e.query('FROM (YIELD split(" ", "to be or not to be") AS w) SELECT w')
     assert sorted(x.w for x in words.collect()) == ["be", "be", "not", "or", "to", "to"]
-    got = e.query("FROM fixtures/n123/csv SELECT *, 1 AS _private")
+    got = e.query("FROM numbers/small SELECT *, 1 AS _private")
     assert got.columns == ["n", "b", "name"]
 
 

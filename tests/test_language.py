@@ -162,3 +162,21 @@ def test_empty_input(spark):
     e = Engine(spark).table("t", spark.createDataFrame([], "id long, t long, k string, v long"), ["id"])
     for op in OPS:
         assert e.query("FROM t " + op).collect() == []
+
+
+def test_globals_and_now(spark):
+    text = """DECLARE WITH PROGRAM SCOPE var string[string];
+      DEFINE f AS SELECT IF RANDOM > 0.5 THEN "a" ELSE "b" AS x, MAPADD(var, "k", x) AS _y, var["k"] IN ["a"; "b"] AS ok, NOW > 1.7e9 AS late, AGE(NOW) < 60 AS fresh EVERY 0.1s"""
+    rows = Engine(spark, generate=5).run(text, "f").collect()
+    assert len(rows) == 5 and all(r.ok and r.late and r.fresh for r in rows)
+
+
+def test_commits_across_groups(spark):
+    rows = [(i, k, v) for i, (k, v) in enumerate([("a", 1), ("a", 2), ("b", 3), ("b", 4), ("a", 5), ("c", 6)])]
+    e = Engine(spark).table("t", spark.createDataFrame(rows, "i long, k string, v long"), ["i"])
+    got = e.query("FROM t SELECT k, SUM v AS s GROUP BY k COMMIT AFTER in.k <> out.k").collect()
+    assert [tuple(r) for r in got] == [("a", 3), ("b", 7), ("a", 5)]
+    got = e.query("FROM t SELECT k, SUM v AS s COMMIT BEFORE in.k <> FIRST k").collect()
+    assert [tuple(r) for r in got] == [("a", 3), ("b", 7), ("a", 5)]
+    got = e.query("FROM t SELECT k, SUM v AS s, previous.s AS was GROUP BY k COMMIT AND KEEP AFTER true").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [("a", 1, None), ("a", 3, 1), ("b", 3, None), ("b", 7, 3), ("a", 8, 3), ("c", 6, None)]))

@@ -103,3 +103,22 @@ def test_archive_and_replay(spark, tmp_path):
     assert key(got) == key(whole) and key(got)
     a.expire("base", 7200)
     assert a.read("base", 0, 1e9).agg({"start": "min"}).collect()[0][0] == 7200
+
+
+def test_listen_topic_and_notify(spark):
+    payload = struct.pack(">HHIIIIBBH", 5, 1, 10_000, 1000, 0, 42, 1, 2, 0) + flow(2_000, 4_000)
+    e = Engine(spark).listen("netflow", spark.createDataFrame([(bytearray(payload), "r1")], "payload binary, sender string"))
+    e.topic("cars", spark.createDataFrame([(bytearray(b"1999,a\n2001,b"),)], "value binary"))
+    text = """DEFINE flows AS LISTEN FOR NETFLOWV5;
+      DEFINE big AS FROM flows SELECT start, bytes, source AS exporter "who" FACTORS exporter;
+      DEFINE cars AS READ FROM KAFKA TOPIC "cars" WITH OPTIONS "metadata.broker.list" = "h" AS CSV (year u16, name string);
+      DEFINE late AS FROM cars SELECT year, name WHERE year > 2000 COMMIT AND NOTIFY "late car" AFTER true"""
+    r = e.run(text)
+    assert [tuple(x) for x in r["big"].collect()] == [(992.0, 700, "r1")]
+    assert r["big"].schema["exporter"].metadata["factor"] and r["big"].schema["exporter"].metadata["doc"] == "who"
+    sent = e.notifications(text, "late").collect()
+    assert [(x.name, x.params) for x in sent] == [("late car", {"year": '{"v":2001}', "name": '{"v":"b"}'})]
+    with pytest.raises(ValueError):
+        e.notifications(text, "big")
+    with pytest.raises(ValueError):
+        Engine(spark).run("DEFINE f AS LISTEN FOR COLLECTD", "f")

@@ -26,7 +26,7 @@ from pyspark.sql import types as S
 from tidegauge.functions import scalar, stateful
 from tidegauge.functions.stateful import Win
 from tidegauge.lang.parser import parse
-from tidegauge.lang.tree import Aggregate, E, Function, LanguageError, Listen, Program, Read
+from tidegauge.lang.tree import Aggregate, E, Field, Function, LanguageError, Listen, Program, Read
 from tidegauge.lang.types import T, is_arr, is_int, of_spark, spark_type
 from tidegauge.plans.commit import Clause, Ctx, Machine, sorting
 from tidegauge.plans.resolve import Resolved, Resolver, mentions, states_of
@@ -189,6 +189,38 @@ class Engine:
         self.spark, self.flush_at_end, self.generate, self.lateness = spark, flush_at_end, generate, lateness
         self.tables: dict[str, tuple[DataFrame, list[str], set[str]]] = {}
         self.plans: dict[str, str] = {}
+        self.datagrams: dict[str, DataFrame] = {}
+        self.topics: dict[str, DataFrame] = {}
+
+    def listen(self, protocol: str, datagrams: DataFrame) -> Engine:
+        """Where LISTEN FOR a protocol takes its payloads from: a batch or stream
+        with ``payload`` (and ``sender``, ``received``) columns."""
+        self.datagrams[protocol] = datagrams
+        return self
+
+    def topic(self, name: str, messages: DataFrame) -> Engine:
+        """Messages (``value`` binary) that stand for a Kafka topic, for batches and tests."""
+        self.topics[name] = messages
+        return self
+
+    def notifications(self, program: str, function: str, **params: Any) -> DataFrame:
+        """What NOTIFY sends: (name, start, params), one for each output of the
+        function; the name defaults to the function's, params are its fields."""
+        p = parse(program)
+        f = next((f for f in p.functions if f.name == function), None)
+        if f is None or not isinstance(f.op, Aggregate) or not f.op.notify:
+            raise LanguageError(f"{function} does not notify")
+        named = f.op.notify[0]
+        if named.op == "lit" and named.at["v"] is None:
+            named = E("lit", [], {"v": function})
+        taken = {x.alias for x in f.op.fields}
+        column = next(n for n in ("notification", "notification_name", "notification_name_1") if n not in taken)
+        f.op.fields.append(Field(named, column))
+        df = self.run(p, function, **params)
+        fields = [c for c in df.columns if c != column]
+        pairs = [x for c in fields for x in (F.lit(c), F.to_json(F.struct(F.col(f"`{c}`").alias("v"))))]
+        start = F.col("start").cast("double") if "start" in fields else F.unix_micros(F.current_timestamp()) / 1e6
+        return df.select(F.col(column).alias("name"), start.alias("start"), (F.create_map(*pairs) if pairs else F.create_map()).alias("params"))
 
     def table(self, name: str, df: DataFrame, order: list[str] | None = None, not_null: list[str] | None = None) -> Engine:
         known = set(df.columns) if not_null == ["*"] else set(not_null or [])
@@ -265,7 +297,13 @@ class Run:
 
             return read(self.engine.spark, op, self)
         if isinstance(op, Listen):
-            raise LanguageError(f"LISTEN FOR {op.protocol.upper()} needs a stream: see tidegauge.sources.protocols")
+            from tidegauge.sources.protocols import DECODERS, decoded
+
+            if op.protocol not in DECODERS:
+                raise LanguageError(f"unknown protocol: {op.protocol}")
+            if op.protocol not in self.engine.datagrams:
+                raise LanguageError(f"LISTEN FOR {op.protocol.upper()}: name its datagrams with Engine.listen")
+            return decoded(self.engine.datagrams[op.protocol], op.protocol)
         return self.aggregate(op, ordered, chain, f.name)
 
     def parents(self, op: Aggregate, ordered: bool, chain: tuple[str, ...]) -> tuple[DataFrame, set[str]]:
@@ -598,6 +636,8 @@ class Run:
             if n.startswith("_"):
                 continue
             meta = {"lang_type": str(e.t)} if e.t.kind not in ("opaque", "time", "void", "map") else {}
+            if n in r.factors:
+                meta["factor"] = True
             columns.append(F.col(f"`__f_{n}`").alias(n, metadata=meta | r.docs.get(n, {})))
         if ordered and ORD in df.columns:
             columns.append(F.col(ORD))

@@ -211,6 +211,8 @@ def rowbinary_rows(binary: DataFrame, columns: list[tuple[str, T, str]]) -> Data
 
 def read(spark: SparkSession, op: Read, run: Any, stream: bool = False) -> DataFrame:
     where = run.constant(op.where)
+    if op.kind == "kafka" and where in run.engine.topics:
+        return decode_messages(run.engine.topics[where], op)
     if op.kind == "kafka":
         return kafka(spark, where, op, run)
     o = {k: run.constant(v) if k in ("preprocess", "delete") else v for k, v in op.options.items()}

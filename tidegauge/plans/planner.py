@@ -432,12 +432,37 @@ class Run:
         if r.where is not None:
             df = self.window_states(r.where, df, cs, keys)
             df = df.filter(cs.col(r.where))
-        for n, e in r.fields:
-            df = self.window_states(e, df, cs, keys)
-            df = df.withColumn(f"__f_{n}", cs.col(e))
-            cs.out[n] = f"__f_{n}"
+        return self.waves(r, df, cs, keys)
+
+    def waves(self, r: Resolved, df: DataFrame, cs: Columns, keys: list[Column]) -> DataFrame:
+        """Fields and states as soon as what they need is there, all that are ready
+        at once: one window operator a wave instead of one a function."""
+        fields, states = list(r.fields), [s for _, e in r.fields for s in states_of(e)]
+        while fields:
+            ready = [(n, e) for n, e in fields if self.ready(e, cs)]
+            if ready:
+                df = df.withColumns({f"__f_{n}": cs.col(e) for n, e in ready})
+                cs.out |= {n: f"__f_{n}" for n, _ in ready}
+                fields = [f for f in fields if f[0] not in cs.out]
+                continue
+            now = [s for s in states if id(s) not in cs.states and all(self.ready(a, cs) for a in s.args)]
+            columns = {}
+            for s in now:
+                w = Win(keys if s.at["life"] == "local" else [], [F.col(ORD)])
+                columns[f"__s{len(cs.states) + len(columns)}"] = stateful.REGISTRY[s.op].window(s, w, *[cs.col(a) for a in s.args])
+            cs.states |= dict(zip(map(id, now), columns))
+            df = df.withColumns(columns)
         return df
 
+    @staticmethod
+    def ready(e: E, cs: Columns) -> bool:
+        """Whether every field and state of the expression has a column."""
+        if e.op.startswith("s:"):
+            return id(e) in cs.states
+        if e.op == "out":
+            return e.at["name"] in cs.out
+        return all(Run.ready(a, cs) for a in e.args)
+
     def window_states(self, e: E, df: DataFrame, cs: Columns, keys: list[Column]) -> DataFrame:
         for s in states_of(e):
             w = Win(keys if s.at["life"] == "local" else [], [F.col(ORD)])

@@ -184,6 +184,46 @@ def test_ssa_recovers_a_sine():
     assert np.abs(z[holes[:-1]] - x[holes[:-1]]).mean() < np.abs(linear[:-1] - x[holes[:-1]]).mean()
 
 
+@pytest.mark.parametrize("period", [40, 96])
+def test_ssa_converges_over_long_holes(period):
+    t = np.arange(300)
+    true = 3 * np.sin(2 * np.pi * t / period) + 10
+    y = true + np.random.default_rng(0).normal(0, 0.1, 300)
+    holes = np.arange(140, 160)
+    y[holes] = np.nan
+    z = grid.ssa_fill(y)
+    assert np.sqrt(np.mean((z[holes] - true[holes]) ** 2)) < 0.15
+    # A fixed point of the plain iteration: averaging the diagonals again changes nothing.
+    h = np.lib.stride_tricks.sliding_window_view(z - np.nanmean(y), 16)
+    _, v = np.linalg.eigh(h.T @ h)
+    near = h @ v[:, -3:] @ v[:, -3:].T
+    plain = [np.mean([near[s, k - s] for s in range(k - 15, k + 1)]) + np.nanmean(y) for k in holes]
+    assert np.abs(plain - z[holes]).max() < 0.01
+
+
+def test_solve_of_the_holes_against_dense():
+    r = np.random.default_rng(5)
+    holes, width = np.sort(r.choice(900, 300, replace=False)), 16
+    band = r.normal(size=(900, width))
+    full = np.zeros((900, 900))
+    for s in range(900 - width + 1):
+        full[s : s + width, s : s + width] += np.outer(band[s], band[s]) + 0.1 * np.eye(width)
+    links = np.array([[full[h, h + k] if 0 <= h + k < 900 else 0.0 for k in range(1 - width, width)] for h in holes])
+    right = r.normal(size=300)
+    assert np.allclose(grid._solve(links, holes, right, width), np.linalg.solve(full[np.ix_(holes, holes)], right))
+
+
+def test_unconverged_entries_have_their_state(spark):
+    r = np.random.default_rng(1)
+    rows = [metric(k, 10.0 * k, [float("nan") if k == 9 else float(r.normal())]) for k in range(60) if k not in (20, 21)]
+    df = readings(spark.createDataFrame(rows, METRIC))
+    hosts = spark.createDataFrame([("h", 10, "s", 4)], "host string, step_s int, site string, n_cores int")
+    states = {n: {x.slot_start: x.state for x in grid.regular(df, hosts, rounds=n).collect()} for n in (1, 2000)}
+    assert (states[1][90], states[1][200], states[1][210], states[1][100]) == ("no_value_unconverged", "unconverged", "unconverged", "observed")
+    assert (states[2000][90], states[2000][200]) == ("no_value", "filled")
+    assert sorted(x.slot_start for x in grid.missing_slots(grid.regular(df, hosts, rounds=1, holes_only=True)).collect()) == [200, 210]
+
+
 @pytest.mark.parametrize("x", [[np.nan] * 4, [1.0], [1.0, np.nan], [2.0, 2.0, np.nan, 2.0, 2.0, np.nan, 2.0, 2.0], [np.nan, 3.0, np.nan]])
 def test_ssa_on_short_and_constant_series(x):
     y = grid.ssa_fill(np.array(x))

@@ -6,7 +6,8 @@ day's slots of its source.  Missing entries are filled by iterative
 singular-spectrum imputation: start from interpolation, embed the series in a
 Hankel trajectory matrix, keep its leading singular vectors, average the
 diagonals, put the result where entries were missing, and repeat until the
-change is small.  Filled entries are marked, observed ones never changed.
+change is small.  Filled entries are marked, observed ones never changed; where the
+iteration does not converge the interpolation stays, under a state of its own.
 
 A channel-day has at most 86400/step slots after bucketing, whatever share of
 the rows its source has; channels are independent tasks.
@@ -14,8 +15,8 @@ the rows its source has; channels are independent tasks.
 Cases: rows without key or time are no readings; sources without a known
 positive step are left out; several readings in a slot give their mean; NaN and
 infinite values count as a reading without a value (the slot is filled but not
-marked missing); a channel without any value keeps nulls; null array elements
-are skipped; an empty input gives an empty grid; further columns are ignored.
+marked missing); a channel without any value keeps nulls, one with fewer values
+than a window, or none that differ, is interpolated; null array elements are skipped; an empty input gives an empty grid; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,15 +32,60 @@ from tidegauge.sources.monitoring import DAY_S, bigint_floor
 
 SOURCE = ["host", "plugin_name"]
 CHANNEL = [*SOURCE, "plugin_instance", "type_name", "attribute", "pos"]
+#: Guard against series that never settle; what it stops is marked.
+ROUNDS = 2000
+FAR = 1000
+RIDGE = 1e-6
+#: Holes solved for at once; a window's if those are more.
+BLOCK = 64
 
 
-def ssa_fill(x: np.ndarray, window: int = 16, rank: int = 3, rounds: int = 8, tol: float = 1e-3) -> np.ndarray:
-    """``x`` with its NaN entries imputed; all NaN if nothing is known."""
+def _solve(links: np.ndarray, holes: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
+    """``x`` of S x = ``right`` over the holes, S given by its band: ``links[i, j]``
+    ties hole i to the slot ``j - width + 1`` after it.  Block elimination, linear
+    in the number of holes."""
+    size = max(BLOCK, width)
+    cuts = range(0, len(holes), size)
+
+    def part(a: int, b: int) -> np.ndarray:
+        i, j = np.arange(a, min(a + size, len(holes))), np.arange(b, min(b + size, len(holes)))
+        lag = holes[j][None, :] - holes[i][:, None]
+        return np.where(np.abs(lag) < width, links[i[:, None], np.clip(lag, 1 - width, width - 1) + width - 1], 0.0)
+
+    ahead, parts = [], []
+    for a in cuts:
+        own, rest = part(a, a), right[a : a + size]
+        if a:
+            back = part(a, a - size)
+            own, rest = own - back @ ahead[-1], rest - back @ parts[-1]
+        after = part(a, a + size)
+        both = np.linalg.solve(own, np.column_stack((rest, after)))
+        parts.append(both[:, 0])
+        ahead.append(both[:, 1:])
+    for k in range(len(parts) - 2, -1, -1):
+        parts[k] = parts[k] - ahead[k] @ parts[k + 1]
+    return np.concatenate(parts)
+
+
+def ssa_impute(x: np.ndarray, window: int = 16, rank: int = 3, rounds: int = ROUNDS, tol: float = 1e-3) -> tuple[np.ndarray, bool]:
+    """``x`` with its NaN entries imputed (all NaN if nothing is known), and whether
+    the change came under ``tol`` of the series' scale within ``rounds``; if not,
+    the holes are interpolated.
+
+    Replacing the holes by the averaged diagonals is a step down the squared
+    distance of the trajectory matrix from its leading subspace; its fixed point
+    for a given subspace is where that distance is least, a banded linear system
+    in the holes.  Each round solves it, then takes the subspace anew, so the
+    fixed points are those of the plain iteration, reached in fewer rounds.  Steps
+    that keep their direction are lengthened, and taken back if the distance rose.
+    Some series have no fixed point: the distance falls as the holes grow without
+    end, and the iteration stops at ``FAR`` times the largest known value.
+    """
     n = len(x)
     gap = np.isnan(x)
     known = np.flatnonzero(~gap)
     if not len(known) or len(known) == n:
-        return x.copy()
+        return x.copy(), True
     holes = np.flatnonzero(gap)
     centre = x[known].mean()
     y = x - centre
@@ -47,35 +93,61 @@ def ssa_fill(x: np.ndarray, window: int = 16, rank: int = 3, rounds: int = 8, to
     scale = np.sqrt(np.mean(y[known] ** 2))
     width = min(window, n // 2)
     if width < 2 or scale == 0 or len(known) < width:
-        return y + centre
+        return y + centre, True
     rank = min(rank, width - 1)
     rows = n - width + 1
-    # The windows that cover each hole: all of them, or fewer near the ends.
-    first = np.maximum(holes - width + 1, 0)
-    last = np.minimum(holes, rows - 1)
-    inner = (first == holes - width + 1) & (last == holes)
-    inside, edges = holes[inner], np.flatnonzero(~inner)
-    around = inside[:, None] + np.arange(1 - width, width)[None, :]
+    # What ties a hole to a slot at a lag: the sum of a stretch of the projection's
+    # diagonal at that lag, all of it unless fewer windows cover both near the ends.
+    offsets = np.arange(1 - width, width)
+    lag = np.abs(offsets)[None, :]
+    around = holes[:, None] + offsets[None, :]
+    earlier = np.minimum(holes[:, None], around)
+    upper = np.clip(np.minimum(earlier, width - 1 - lag) + 1, 0, width)
+    lower = np.clip(np.minimum(earlier - rows + 1, upper), 0, width)
+    outside = (around < 0) | (around >= n)
+    around = np.clip(around, 0, n - 1)
+    diagonal, at = np.arange(width)[:, None], np.arange(width)[None, :]
+    off = diagonal + at >= width
+    sums = np.zeros((width, width + 1))
+    line, far = y[holes], FAR * np.abs(y[known]).max()
+    before, least, last, reach, done = y[holes], np.inf, None, 1.0, False
     for _ in range(rounds):
         hankel = np.lib.stride_tricks.sliding_window_view(y, width)
         block = np.ascontiguousarray(hankel)
-        _, vectors = np.linalg.eigh(block.T @ block)
-        keep = vectors[:, -rank:]
-        project = keep @ keep.T
-        new = np.empty(len(holes))
-        if len(inside):
-            # Diagonal averaging of the projected windows is a filter of the series.
-            taps = np.array([np.trace(project, k) for k in range(1 - width, width)]) / width
-            new[inner] = y[around] @ taps
-        for e in edges:
-            t = holes[e]
-            at = np.arange(first[e], last[e] + 1)
-            new[e] = np.mean(np.einsum("ij,ij->i", block[at], project[t - at]))
-        change = np.sqrt(np.mean((new - y[holes]) ** 2))
-        y[holes] = new
-        if change < tol * scale:
+        values, vectors = np.linalg.eigh(block.T @ block)
+        distance = values[:-rank].sum()
+        if reach > 1 and distance > least:
+            y[holes], reach, last = before, 1.0, None
+            continue
+        least = distance
+        rest = vectors[:, :-rank]
+        residual = rest @ rest.T
+        np.cumsum(np.where(off, 0.0, residual[at, np.minimum(diagonal + at, width - 1)]), axis=1, out=sums[:, 1:])
+        links = sums[lag, upper] - sums[lag, lower]
+        links[outside] = 0.0
+        slope = np.einsum("ij,ij->i", links, y[around])
+        # Keeps the system regular where the subspace leaves a hole free; no fixed point moves.
+        links[:, width - 1] += RIDGE
+        step = _solve(links, holes, slope, width)
+        size = np.sqrt(np.mean(step**2))
+        if size < tol * scale:
+            y[holes] -= step
+            done = True
+            break
+        steady = last is not None and step @ last > 0.9 * np.sqrt((step @ step) * (last @ last))
+        reach, last = 2 * reach if steady else 1.0, step
+        before = y[holes] - step
+        y[holes] -= reach * step
+        if np.abs(y[holes]).max() > far:
             break
-    return y + centre
+    if not done:
+        y[holes] = line
+    return y + centre, done
+
+
+def ssa_fill(x: np.ndarray, window: int = 16, rank: int = 3, rounds: int = ROUNDS, tol: float = 1e-3) -> np.ndarray:
+    """``x`` with its NaN entries imputed; all NaN if nothing is known."""
+    return ssa_impute(x, window, rank, rounds, tol)[0]
 
 
 def _filler(window: int, rank: int, rounds: int, tol: float, holes_only: bool):
@@ -95,10 +167,12 @@ def _filler(window: int, rank: int, rounds: int, tol: float, holes_only: bool):
                 x = np.full(size, np.nan)
                 at = slots[a:b] - lo[i]
                 x[at] = values[a:b]
-                state = np.full(size, 2, np.int8)  # 2: no reading, 1: no value, 0: observed
+                state = np.full(size, 2, np.int8)  # 2: no reading, 1: no value, 0: observed; 4 and 3 unconverged
                 state[at] = np.where(np.isnan(values[a:b]), 1, 0)
-                y = ssa_fill(x, window, rank, rounds, tol)
+                y, done = ssa_impute(x, window, rank, rounds, tol)
                 show = np.flatnonzero(state == 2) if holes_only else np.arange(size)
+                if not done:
+                    state[state > 0] += 2
                 sizes.append(len(show))
                 out_slot.append(show + lo[i])
                 out_value.append(y[show])
@@ -121,14 +195,15 @@ def regular(
     host_info: DataFrame,
     window: int = 16,
     rank: int = 3,
-    rounds: int = 8,
+    rounds: int = ROUNDS,
     tol: float = 1e-3,
     holes_only: bool = False,
 ) -> DataFrame:
     """(channel, utc_day, slot_start, value, state, channels), one row per channel
     and slot between the first and last of its source's day.
 
-    ``state`` is observed, no_value (a reading, filled value) or filled;
+    ``state`` is observed, no_value (a reading, filled value) or filled, and
+    no_value_unconverged or unconverged where the filled value is no fixed point;
     ``channels`` counts the channels of the source that day.  ``holes_only``
     leaves out slots in which the channel has a reading.
     """
@@ -168,7 +243,7 @@ def regular(
             schema + ", channels bigint, grid array<struct<slot:bigint,v:double,state:tinyint>>",
         )
     )
-    state = F.element_at(F.array(F.lit("observed"), F.lit("no_value"), F.lit("filled")), F.col("g.state") + 1)
+    state = F.element_at(F.array(F.lit("observed"), F.lit("no_value"), F.lit("filled"), F.lit("no_value_unconverged"), F.lit("unconverged")), F.col("g.state") + 1)
     return filled.withColumn("g", F.explode("grid")).select(
         *CHANNEL,
         "utc_day",
@@ -180,9 +255,9 @@ def regular(
 
 
 def missing_slots(grid: DataFrame) -> DataFrame:
-    """(host, plugin_name, utc_day, slot_start) filled in every channel of their source."""
+    """(host, plugin_name, utc_day, slot_start) without a reading in any channel of their source."""
     return (
-        grid.filter(F.col("state") == "filled")
+        grid.filter(F.col("state").isin("filled", "unconverged"))
         .groupBy(*SOURCE, "utc_day", "slot_start")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("channels").alias("_all"))
         .filter(F.col("_n") == F.col("_all"))

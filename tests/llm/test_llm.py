@@ -213,6 +213,29 @@ def test_query(spark, name):
     assert ca == cb and a == b
 
 
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+def test_counts_have_every_grouping(spark):
+    """All seven subsets of day, source and sender, counted one by one."""
+    from tidegauge.llm.queries import _contacts
+
+    keys = ["utc_day", "source", "addr"]
+    got = {}
+    for r in QUERIES["p3_counts"](spark, D).collect():
+        got.setdefault(r.grouping, {})[(*(r[k] for k in keys), r.counted)] = (r.estimate, r.lower, r.upper)
+    want = {}
+    for r in _contacts(spark, D).distinct().collect():
+        for m in range(1, 8):
+            names = [k for i, k in enumerate(keys) if m >> i & 1]
+            group = (*(r[k] if k in names else None for k in keys), r.counted)
+            want.setdefault(",".join(names), {}).setdefault(group, set()).add(r.h)
+    assert set(got) == set(want) and len(want) == 7
+    for g, groups in want.items():
+        assert set(got[g]) == set(groups)
+        for key, hashes in groups.items():
+            e, lo, hi = got[g][key]
+            assert (e, lo, hi) == (len(hashes),) * 3 if len(hashes) < kmv.K else lo < e < hi and abs(e / len(hashes) - 1) < 0.15
+
+
 @needs_tokenizer
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 def test_found_pages_agree_with_readers(spark):

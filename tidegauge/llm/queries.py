@@ -76,11 +76,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return c.filter(kmv.estimate(F.col("n"), F.col("kth")) >= 100).select("utc_day", "addr", "counted")
 
 
-SETS = [["utc_day"], ["source"], ["utc_day", "source"], ["addr"], ["utc_day", "addr"]]
+SETS = [["utc_day"], ["source"], ["utc_day", "source"], ["addr"], ["utc_day", "addr"], ["source", "addr"]]
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct peers and peer ports for days, exporters, senders and combinations,
+    """Distinct peers and peer ports for days, exporters, senders and all combinations,
     with 95 % bounds; every coarser sketch is merged from the finest ones' hashes.
 
     Shuffled rows name their grouping and what they count by a byte."""

@@ -187,6 +187,38 @@ def test_prose_or_not(text, prose):
     assert (m["prose_share"] >= 0.5) == prose
 
 
+def _share(text):
+    return dict(zip([n for n, _ in quality.FIELDS], quality.measure(text, COMMON)))["prose_share"]
+
+
+#: A quarter of the words are common ones: layout decides.
+UNSURE = ["the harvest mill crew", "old ladder of boiler", "pier in chapel loom", "rope cargo kept by"] * 3
+
+
+def test_layout_takes_part_in_the_verdict():
+    flush = _share("\n".join(UNSURE))
+    assert flush == 1
+    hanging = "\n".join(("   " if i % 2 else "") + x for i, x in enumerate(UNSURE))
+    tabbed = "\n".join(("\t" if i % 3 == 1 else "") + x for i, x in enumerate(UNSURE))
+    entries = "\n".join("— " + x for x in UNSURE)
+    symbols = "\n".join(x.replace("r", "r ~=") for x in UNSURE)
+    ends = "\n".join(x + ";" for x in UNSURE)
+    for page in (hanging, tabbed, entries, symbols, ends):
+        assert _share(page) < 0.5
+    # Repeated line lengths take the doubt back.
+    short, long = "the pit hut rope;", "the harvest treasurers boilermakers;"
+    assert _share("\n".join([short] * 12 + [long] * 12)) == 1
+    assert _share("\n".join([short, long] * 12)) == 0
+
+
+def test_delimiters_at_the_same_position():
+    rows = ["the mill wood".ljust(20) + "rope", "a pier crew".ljust(20) + "cargo".ljust(9) + "chapel"] * 3
+    names = [n for n, _ in quality.FIELDS]
+    shifted = [" " * 3 * (i % 2) + x for i, x in enumerate(rows)]
+    aligned = [dict(zip(names, quality.measure("\n".join(x), COMMON)))["aligned_share"] for x in (rows, shifted)]
+    assert aligned == [1, 0] and _share("\n".join(rows)) == 0
+
+
 def test_quality_statistics(spark):
     rows = [doc(1, None), doc(2, ""), doc(3, " \n\t"), doc(4, "…"), doc(5, "the cat, of a\nmat."), doc(5, "the cat, of a\nmat.")]
     df = spark.createDataFrame(rows, DOC)

@@ -2,13 +2,16 @@
 
 Words, symbols and line ends give the plain ratios.  Layout is read from three
 signals: *vertical delimiter alignment* (neighbouring lines with the same number
-of column delimiters), *indentation periodicity* (entries that start alike at a
-steady distance) and *line-length autocorrelation* (set columns repeat their
-line length, lists and verse do not).  Each line is then judged in its context:
-it runs as prose if it and its neighbours hold enough common words and it is
+of column delimiters, or with a delimiter at the same position), *indentation
+periodicity* (leading blanks that grow, and entries that start alike, at a steady
+distance) and *line-length autocorrelation* (set columns repeat their line
+length, lists and verse do not).  Each line is then judged in its context: it
+runs as prose if it and its neighbours hold enough common words and it is
 neither an aligned row nor a display line; a numbered or dashed paragraph of
-sentences is prose, an entry without them is not.  ``prose_share`` weighs the
-lines by their characters.
+sentences is prose, an entry without them is not.  How many common words are
+enough depends on the doubt that layout raises (``_doubt``): steady entries and
+indents, symbols, and ends of lines weigh on it, and a column of repeated line
+lengths relieves it.  ``prose_share`` weighs the lines by their characters.
 
 Lines longer than ``WRAP`` characters are judged in pieces of about that size,
 so a page that was joined to one line is treated like any other.  All text is
@@ -34,6 +37,8 @@ WRAP = 90
 #: A line is prose with this share of common words, on its own and with its neighbours.
 OWN, NEAR, SURE = 0.2, 0.2, 0.33
 DISPLAY_NEAR = 0.45
+#: Symbols, and lines that end with punctuation, from which a page is doubtful, and where it is so in full.
+SYMBOLS, ENDS = (0.1, 0.3), (0.45, 0.95)
 #: Least share of letters of words in a readable line.
 CLEAR = 0.6
 
@@ -49,7 +54,8 @@ _ENDS = ".!?:;,)]»”\"'’"
 FIELDS = [
     ("n_words", "bigint"), ("n_lines", "bigint"), ("mean_word_length", "double"), ("symbol_ratio", "double"),
     ("digit_ratio", "double"), ("upper_ratio", "double"), ("punct_end_share", "double"), ("common_share", "double"),
-    ("aligned_share", "double"), ("entry_share", "double"), ("entry_period", "double"), ("length_autocorr", "double"),
+    ("aligned_share", "double"), ("entry_share", "double"), ("entry_period", "double"), ("indent_period", "double"),
+    ("length_autocorr", "double"),
     ("prose_share", "double"),
 ]
 
@@ -90,6 +96,24 @@ def _autocorr(v: np.ndarray) -> float:
     return 0.0 if ss == 0 else float(d[:-1] @ d[1:] / ss)
 
 
+def _meet(a: list[int], b: list[int]) -> bool:
+    """Whether a position of both is the same, give or take one."""
+    return any(abs(x - y) < 2 for x in a for y in b)
+
+
+def _over(x: float, span: tuple[float, float]) -> float:
+    return min(max((x - span[0]) / (span[1] - span[0]), 0.0), 1.0)
+
+
+def _doubt(entry: np.ndarray, inset: np.ndarray, symbols: float, ends: float, autocorr: float) -> np.ndarray:
+    """How much the layout speaks against prose, 0 to 1 a line: entries and indented
+    lines by how steadily they come, the page by its symbols and line ends, less as
+    its line lengths repeat."""
+    own = np.maximum(entry * _period(entry), (_near(inset.astype(float)) > 0) * _period(inset))
+    page = max(_over(symbols, SYMBOLS), _over(ends, ENDS))
+    return np.maximum(own, page) * (1 - max(autocorr, 0.0))
+
+
 def measure(text: str | None, common: frozenset[str]) -> tuple | None:
     """The values of ``FIELDS`` for one text; None for a null or blank one."""
     if text is None or not text.strip():
@@ -99,10 +123,14 @@ def measure(text: str | None, common: frozenset[str]) -> tuple | None:
     known, words, letters = np.zeros(n), np.zeros(n), 0
     sizes, cells = np.zeros(n), np.zeros(n, int)
     entry, starred, capital, clear = (np.zeros(n, bool) for _ in range(4))
+    indent, stops = np.zeros(n, int), []
     ends = 0
     for i, line in enumerate(lines):
         bare = line.strip()
         sizes[i] = len(bare)
+        if line[0].isspace():
+            blank = line[: len(line) - len(line.lstrip())].expandtabs()
+            indent[i] = len(blank)
         found = _WORD.findall(bare.lower())
         if found and (m := _NUMBER.match(bare)):
             found = found[1:]
@@ -111,7 +139,8 @@ def measure(text: str | None, common: frozenset[str]) -> tuple | None:
         length = sum(map(len, found))
         letters += length
         clear[i] = length >= CLEAR * (len(bare) - bare.count(" "))
-        cells[i] = len(_CELL.findall(bare))
+        stops.append([indent[i] + m.end() for m in _CELL.finditer(bare)])
+        cells[i] = len(stops[i])
         entry[i] = _ENTRY.match(bare) is not None
         starred[i] = bare.startswith("***")
         capital[i] = _DISPLAY.match(bare) is not None
@@ -121,25 +150,32 @@ def measure(text: str | None, common: frozenset[str]) -> tuple | None:
     same = np.zeros(n, bool)
     if n > 1:
         pair = (cells[1:] == cells[:-1]) & (cells[1:] > 0)
+        for i in np.flatnonzero(~pair & (cells[1:] > 0) & (cells[:-1] > 0)):
+            pair[i] = _meet(stops[i], stops[i + 1])
         same[1:] |= pair
         same[:-1] |= pair
     aligned = same & (own < SURE)
     # Capitals set a line off only on a page that is not set in capitals itself.
     display = starred | (capital if capital.mean() < 0.7 else starred)
-    prose = ((own >= OWN) & (near >= NEAR) | (own >= SURE)) & ~aligned & clear
-    prose &= ~display | (near >= DISPLAY_NEAR) & (own >= OWN)
     count, total = float(words.sum()), float(sizes.sum())
     dense = "".join(text.split())
     digits = sum(map(dense.count, "0123456789"))
     plain = sum(map(str.isalpha, dense))
     uppers = sum(map(str.isupper, dense))
+    symbols, autocorr = (len(dense) - plain - digits) / len(dense), _autocorr(sizes)
+    inset = np.zeros(n, bool)
+    inset[1:] = indent[1:] > indent[:-1]
+    doubt = _doubt(entry, inset, symbols, ends / n, autocorr)
+    enough, sure = OWN + doubt * (SURE - OWN), SURE + doubt * (DISPLAY_NEAR - SURE)
+    prose = ((own >= enough) & (near >= NEAR + doubt * (SURE - NEAR)) | (own >= sure)) & ~aligned & clear
+    prose &= ~display | (near >= DISPLAY_NEAR) & (own >= OWN)
     return (
         int(count), n,
         letters / count if count else 0.0,
-        (len(dense) - plain - digits) / len(dense), digits / len(dense), uppers / len(dense),
+        symbols, digits / len(dense), uppers / len(dense),
         ends / n,
         float(known.sum()) / count if count else 0.0,
-        float((sizes * same).sum()) / total, float(entry.mean()), _period(entry), _autocorr(sizes),
+        float((sizes * same).sum()) / total, float(entry.mean()), _period(entry), _period(inset), autocorr,
         float((sizes * prose).sum()) / total,
     )
 

@@ -268,6 +268,22 @@ def test_counts_have_every_grouping(spark):
             assert (e, lo, hi) == (len(hashes),) * 3 if len(hashes) < kmv.K else lo < e < hi and abs(e / len(hashes) - 1) < 0.15
 
 
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+def test_exporters_compare_addresses_and_ports(spark):
+    from tidegauge.llm.queries import _contacts
+
+    sets = {}
+    for r in _contacts(spark, D).distinct().collect():
+        sets.setdefault((r.utc_day, r.source, r.counted), set()).add(r.h)
+    got = {(r.utc_day, r.source, r.counted): r for r in QUERIES["p3_exporters"](spark, D).collect()}
+    assert set(got) == {k for k in sets if k[1] is not None and (k[0] - 1, *k[1:]) in sets}
+    assert {k[2] for k in got} == {"addr", "port"}
+    for k, r in got.items():
+        a, b = sets[k], sets[k[0] - 1, *k[1:]]
+        for x, lo, hi, want in ((r.both, r.both_lower, r.both_upper, a & b), (r.new, r.new_lower, r.new_upper, a - b)):
+            assert (x, lo, hi) == pytest.approx((len(want),) * 3) if len(a | b) < kmv.K else lo <= x <= hi and abs(x - len(want)) < 0.2 * len(a | b)
+
+
 @needs_tokenizer
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 def test_found_pages_agree_with_readers(spark):

@@ -113,16 +113,16 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_exporters(spark: SparkSession, d: str) -> DataFrame:
-    """Peers that each exporter's days share with the day before: union,
-    intersection and difference of mergeable sketches, with bounds."""
-    rows = _contacts(spark, d).filter((F.col("counted") == "addr") & F.col("source").isNotNull())
-    s = kmv.sketches(rows, ["utc_day", "source"])
-    before = s.select((F.col("utc_day") + 1).alias("utc_day"), "source", F.col("kmv").alias("_b"))
-    j = s.join(before, ["utc_day", "source"])
+    """Peers and peer ports that each exporter's days share with the day before:
+    union, intersection and difference of mergeable sketches, with bounds."""
+    keys = ["utc_day", "source", "counted"]
+    s = kmv.sketches(_contacts(spark, d).filter(F.col("source").isNotNull()), keys)
+    before = s.select((F.col("utc_day") + 1).alias("utc_day"), "source", "counted", F.col("kmv").alias("_b"))
+    j = s.join(before, keys)
     both, both_lo, both_hi = kmv.intersection(F.col("kmv"), F.col("_b"))
     new, new_lo, new_hi = kmv.difference(F.col("kmv"), F.col("_b"))
     return j.select(
-        "utc_day", "source", kmv.size_of(kmv.union(F.col("kmv"), F.col("_b"))).alias("either"),
+        *keys, kmv.size_of(kmv.union(F.col("kmv"), F.col("_b"))).alias("either"),
         both.alias("both"), both_lo.alias("both_lower"), both_hi.alias("both_upper"),
         new.alias("new"), new_lo.alias("new_lower"), new_hi.alias("new_upper"),
     )

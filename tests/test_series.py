@@ -96,3 +96,16 @@ def test_api(spark):
     api.set_alerts({"sys/load": [{"column": "load", "threshold": 3}]})
     with pytest.raises(KeyError):
         api.set_alerts({"none": []})
+
+
+def test_find_among_many_values(spark):
+    df = spark.range(2500).selectExpr("cast(id as double) start", "concat('h', id) host", "cast(id as double) load")
+    api = Api({"t": (df, ["host"])})
+    for name in ("h7", "h1234", "h2499"):
+        assert [n["id"] for n in api.find(f"t.{name}")] == [f"t.{name}"]
+        assert [n["id"] for n in api.find(f"t.{name}.load")] == [f"t.{name}.load"]
+    assert {n["text"] for n in api.find("t.h249[0-4]")} == {f"h249{i}" for i in range(5)}
+    assert len(api.find("t.h2???")) == 500 and api.find("t.x*") == []
+    for query in ("t.*", "t.h*.load"):
+        with pytest.raises(ValueError):
+            api.find(query)

@@ -8,7 +8,7 @@ import json
 import re
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge import __version__
@@ -17,6 +17,14 @@ from tidegauge.series.resample import possible_values, resample
 MAX_SERIES = 1000
 
 
+def _matches(value: Column, pattern: str) -> Column:
+    """Whether a string is matched by a glob."""
+    if not re.search(r"[*?\[]", pattern):
+        return value == pattern
+    body = fnmatch.translate(pattern).removeprefix("(?s:").removesuffix(r")\Z").removesuffix(r")\z")
+    return value.rlike(f"(?s)^(?:{body})\\z")
+
+
 class Api:
     """``tables`` maps a name to (DataFrame, factors); each has a field ``start``."""
 
@@ -74,24 +82,30 @@ class Api:
 
     # Graphite
     def find(self, query: str) -> list[dict[str, Any]]:
-        """Nodes under a glob: table . factor values . numeric field."""
+        """Nodes under a glob: table . factor values . numeric field.
+
+        An error if more than ``MAX_SERIES`` values of a factor match under a node."""
         parts = query.split(".")
         level = [("", n, False) for n in self.tables]
         out: list[tuple[str, str, bool]] = []
         for depth, pattern in enumerate(parts):
             out = [(p, n, leaf) for p, n, leaf in level if fnmatch.fnmatchcase(n, pattern)]
             if depth + 1 < len(parts):
-                level = [(f"{p}.{n}" if p else n, c, leaf) for p, n, _ in out for c, leaf in self.children(f"{p}.{n}" if p else n)]
+                level = [(f"{p}.{n}" if p else n, c, leaf) for p, n, _ in out for c, leaf in self.children(f"{p}.{n}" if p else n, parts[depth + 1])]
         return [{"text": n, "id": f"{p}.{n}" if p else n, "leaf": leaf, "expandable": not leaf, "allowChildren": not leaf} for p, n, leaf in out]
 
-    def children(self, path: str) -> list[tuple[str, bool]]:
+    def children(self, path: str, pattern: str = "*") -> list[tuple[str, bool]]:
         name, *given = path.split(".")
         df, factors = self.tables[name]
         if len(given) < len(factors):
             for f, v in zip(factors, given):
                 df = df.filter(F.col(f).cast("string") == v)
-            values = possible_values(df, factors[len(given)]).limit(MAX_SERIES).collect()
-            return [(str(r[0]), False) for r in values]
+            factor = factors[len(given)]
+            named = df.select(F.coalesce(F.col(factor).cast("string"), F.lit("None")).alias(factor))
+            values = possible_values(named.filter(_matches(F.col(factor), pattern)), factor).limit(MAX_SERIES + 1).collect()
+            if len(values) > MAX_SERIES:
+                raise ValueError(f"more than {MAX_SERIES} values of {factor}: name them more closely")
+            return [(r[0], False) for r in values]
         if len(given) > len(factors):
             return []
         return [(f.name, True) for f in df.schema if f.dataType.simpleString() in ("double", "bigint", "int", "float") and f.name not in (*factors, "start", "stop")]
@@ -102,7 +116,7 @@ class Api:
         df, factors = self.tables[name]
         field = rest[len(factors)]
         for f, pattern in zip(factors, rest):
-            df = df.filter(F.col(f).cast("string").rlike("^" + fnmatch.translate(pattern).removeprefix("(?s:").removesuffix(r")\Z").removesuffix(r")\z") + "$") if re.search(r"[*?\[]", pattern) else F.col(f).cast("string") == pattern)
+            df = df.filter(_matches(F.col(f).cast("string"), pattern))
         r = resample(df, since, until, max_points, {field: "avg"}, factors, stop="stop" if "stop" in df.columns else None)
         label = F.concat_ws(".", F.lit(name), *[F.col(f).cast("string") for f in factors], F.lit(field))
         return r.select(label.alias("target"), "t", F.col(field).alias("value"))

@@ -109,3 +109,22 @@ def test_find_among_many_values(spark):
     for query in ("t.*", "t.h*.load"):
         with pytest.raises(ValueError):
             api.find(query)
+
+
+def test_seasonal_baseline(spark):
+    """Windows of 10 s, every other one high: only the season's own past is a baseline."""
+    level = [10, 100, 10, 100, 20, 100, 10, 10]
+    rows = [(w * 10.0 + i, k, float(v)) for k in ("a", None) for w, v in enumerate(level) for i in range(10)]
+    df = spark.createDataFrame(rows, "start double, k string, v double")
+    base = {"avg_window": 10, "percentile": 50, "max_distance": 0.2, "seasonality": 2, "smooth_factor": 0.5}
+    spec = {"column": "v", "keys": ["k"], "baseline": base}
+    j = alert.judged(df, spec)
+    assert j.count() == len(rows)
+    bad = {(r.k, r.start // 10) for r in j.collect() if not r.ok}
+    # 20 against 10; 10 against the smoothed (10 + 20) / 2; 10 against 100.
+    assert bad == {(k, w) for k in ("a", None) for w in (4, 6, 7)}
+    bad = {r.start // 10 for r in alert.judged(df, spec | {"baseline": base | {"smooth_factor": 0.05}}).collect() if not r.ok}
+    assert bad == {4, 7}
+    api = Api({"t": (df, ["k"])})
+    api.set_alerts({"t": [spec]})
+    assert {(r.k, r.start, r.firing) for r in api.changes["t"][0].collect()} == {(k, *c) for k in ("a", None) for c in ((40.0, True), (50.0, False), (60.0, True))}

@@ -7,20 +7,38 @@ steps are independent, so all windows partition by them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.series.resample import reaggregate, simple_filter
 
 
+def _seasonal(x: DataFrame, keys: list[str], start: str, value: Column, b: dict) -> DataFrame:
+    """``x`` with ``_base``: the percentiles of earlier windows of ``avg_window`` seconds,
+    exponentially smoothed, of every ``seasonality``-th window only."""
+    x = x.withColumn("_w", F.floor(F.col(start) / float(b["avg_window"])))
+    each = x.groupBy(*keys, "_w").agg(F.percentile_approx(value, float(b.get("percentile", 50)) / 100, 10_000).alias("_perc"))
+    season = F.pmod(F.col("_w"), F.lit(int(b.get("seasonality") or 1)))
+    past = Window.partitionBy(*keys, season).orderBy("_w").rowsBetween(Window.unboundedPreceding, -1)
+    new = float(b.get("smooth_factor", 1.0))
+    smoothed = F.aggregate(F.collect_list("_perc").over(past), F.lit(None).cast("double"), lambda s, p: F.coalesce(s * (1 - new) + p * new, p))
+    names = [*keys, "_w"]
+    bases = each.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)], smoothed.alias("_base"))
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(names)]
+    return x.join(bases, on, "left").drop("_w", *(f"_k{i}" for i in range(len(names))))
+
+
 def judged(df: DataFrame, spec: dict) -> DataFrame:
     """Steps with value, bounds, ok and firing.
 
     Spec: column, threshold, recovery (defaults to the threshold), where and
     having (simple filters), keys, time_step (0: as is), duration and ratio (fire
     when at least that share of the past ``duration`` seconds was bad), and a
-    ``baseline`` {avg_window, percentile, max_distance}: the bound is then the
-    smoothed percentile of the past window and the distances from it.
+    ``baseline`` {avg_window, percentile, max_distance}: the bound is then a
+    distance from a percentile, that of the past ``avg_window`` seconds or, with
+    ``smooth_factor`` or ``seasonality``, that of the earlier windows of the season,
+    smoothed.  All values of a window count, none are sampled, and the top
+    contributors of a step are not listed.
     """
     start, column, keys = spec.get("start", "start"), spec["column"], spec.get("keys", [])
     x = df.filter(simple_filter(spec.get("where", [])))
@@ -33,8 +51,11 @@ def judged(df: DataFrame, spec: dict) -> DataFrame:
     ranged = Window.partitionBy(*(keys or [F.lit(0)])).orderBy((F.col(start) * 1e6).cast("bigint"))
     value = F.col(column).cast("double")
     if b := spec.get("baseline"):
-        past = ranged.rangeBetween(-int(float(b["avg_window"]) * 1e6), -1)
-        x = x.withColumn("_base", F.percentile_approx(value, float(b.get("percentile", 50)) / 100, 10_000).over(past))
+        if "smooth_factor" in b or "seasonality" in b:
+            x = _seasonal(x, keys, start, value, b)
+        else:
+            past = ranged.rangeBetween(-int(float(b["avg_window"]) * 1e6), -1)
+            x = x.withColumn("_base", F.percentile_approx(value, float(b.get("percentile", 50)) / 100, 10_000).over(past))
         far = float(b["max_distance"]) * (F.abs("_base") if b.get("relative", True) else F.lit(1.0))
         x = x.withColumn("_v", F.abs(value - F.col("_base"))).withColumn("_most", far).withColumn("_accept", far * float(b.get("recovery", 1.0)))
     else:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge import __version__
+from tidegauge.series.alert import alert
 from tidegauge.series.resample import possible_values, resample
 
 MAX_SERIES = 1000
@@ -31,6 +32,7 @@ class Api:
     def __init__(self, tables: dict[str, tuple[DataFrame, list[str]]]) -> None:
         self.tables = tables
         self.alerts: dict[str, list[dict]] = {}
+        self.changes: dict[str, list[DataFrame]] = {}
 
     # JSON-RPC methods
     def version(self) -> str:
@@ -58,9 +60,11 @@ class Api:
         return resample(df, since, until, num_points, {c: consolidation for c in select}, factors, stop=stop)
 
     def set_alerts(self, alerts: dict[str, list[dict]]) -> None:
+        """Specs of a table's alerts; ``changes`` has the notifications of each."""
         for t, specs in alerts.items():
             if t not in self.tables:
                 raise KeyError(t)
+            self.changes[t] = [alert(self.tables[t][0], s) for s in specs]
             self.alerts[t] = specs
 
     def call(self, request: str) -> str:

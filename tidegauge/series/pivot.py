@@ -3,7 +3,7 @@
 A spec is a mapping: ``keys`` (columns), ``duration`` (seconds), ``value`` and
 ``type`` (columns), ``where`` (simple filters) and ``fields``: each with a name,
 a pattern of the type, and ``aggregates`` (count, first, last, min, max, sum,
-avg, percentiles, tops); avg by default.  A field of one aggregate has the
+avg, percentiles; tops are not covered); avg by default.  A field of one aggregate has the
 field's name, of several field_aggregate... as agg_field.
 """
 

@@ -1,25 +1,33 @@
 """Per-document text statistics that tell running prose from lists, tables and junk.
 
-Words, symbols and line ends give the plain ratios.  Layout is read from three
-signals: *vertical delimiter alignment* (neighbouring lines with the same number
-of column delimiters, or with a delimiter at the same position), *indentation
-periodicity* (leading blanks that grow, and entries that start alike, at a steady
-distance) and *line-length autocorrelation* (set columns repeat their line
-length, lists and verse do not).  Each line is then judged in its context: it
-runs as prose if it and its neighbours hold enough common words and it is
-neither an aligned row nor a display line; a numbered or dashed paragraph of
-sentences is prose, an entry without them is not.  How many common words are
-enough depends on the doubt that layout raises (``_doubt``): steady entries and
-indents, symbols, and ends of lines weigh on it, and a column of repeated line
-lengths relieves it.  ``prose_share`` weighs the lines by their characters.
+Each line is judged by evidence from its surroundings, three signals of layout and
+five ratios, each between 0 and 1:
+
+* ``aligned``: *vertical delimiter alignment*, the share of the two neighbouring lines
+  with as many column delimiters or one at the same position, for lines of short
+  cells (columns of running text have long ones);
+* ``periodic``: *indentation periodicity*, how steadily lines follow that start like
+  an entry (dash, number) or are indented further than the one before (leading blanks
+  count as they stand);
+* ``uneven``: what the *line-length autocorrelation* over the surrounding lines lacks to
+  1, up to ``UNEVEN`` (set prose repeats its line length, entries and adverts do not);
+* ``symbols``, ``commas`` (and the like, per word), ``capitals`` (words with an initial
+  one), ``common`` (words, up to ``KNOWN``) of a line and its neighbours, and
+  ``ends``, punctuation at its end.
+
+The verdict of a line is the sign of a weighted sum of these (``WEIGHTS``).  Without
+evidence a line counts as prose: layout, symbols and capitals speak against it, common
+words for it, none of them decides alone.  ``prose_share`` weighs lines by their
+characters.  The weights are a ridge-regularised logistic fit on lines of the test
+pages with the constant held, rounded; nothing is fitted when the operator runs.
 
 Lines longer than ``WRAP`` characters are judged in pieces of about that size,
 so a page that was joined to one line is treated like any other.  All text is
 read; the time is linear in it.
 
-Cases: null and blank texts have null ratios and no verdict; texts without
-words have a prose share of 0; repeated rows are measured each; an empty input
-gives an empty result; further columns are ignored.
+Cases: null and blank texts have null ratios and no verdict; a text without a
+word or digit has a prose share of 0; repeated rows are measured each; an empty
+input gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,21 +42,26 @@ from pyspark.sql import functions as F
 
 MAX_COMMON = 10_000
 WRAP = 90
-#: A line is prose with this share of common words, on its own and with its neighbours.
-OWN, NEAR, SURE = 0.2, 0.2, 0.33
-DISPLAY_NEAR = 0.45
-#: Symbols, and lines that end with punctuation, from which a page is doubtful, and where it is so in full.
-SYMBOLS, ENDS = (0.1, 0.3), (0.45, 0.95)
-#: Least share of letters of words in a readable line.
-CLEAR = 0.6
+#: Words of a table's cell, at most.
+CELL_WORDS = 3
+#: Lines on each side over which line lengths are compared, and the lack that counts in full.
+AROUND, UNEVEN = 3, 0.3
+#: Share of common words that counts in full.
+KNOWN = 0.5
+#: A line of more symbols than this is unreadable.
+UNREADABLE = 0.9
+WEIGHTS = {
+    "constant": 0.5, "aligned": -3.0, "periodic": -2.5, "uneven": -3.5,
+    "symbols": -8.0, "commas": -2.0, "capitals": -3.5, "ends": -1.5, "common": 6.5,
+}
+SIGNALS = [k for k in WEIGHTS if k != "constant"]
 
 _BREAK = re.compile("\r\n|[\n\r\v\f\x85\u2028\u2029]")
 _WORD = re.compile(r"[^\W\d_]+")
 _CELL = re.compile(r"\t+|\s*\|\s*|\s*\.{3,}\s*| {2,}")
 _ENTRY = re.compile(r"^\s*(?:[—–•*\-]\s|\(?\d{1,4}[.)]\s|[Nn][or]\.\s*\d+)")
-_NUMBER = re.compile(r"^\s*[Nn][or]\.\s*\d+")
-_DISPLAY = re.compile(r"^\W*(?:\w\s)?[A-ZÀ-ÖØ-Þ]{2,}")
 _PIECE = re.compile(r".{1,%d}(?:\s+|$)|\S{%d,}?(?:\s+|$)" % (WRAP, WRAP), re.S)
+_SYMBOL = re.compile(r"[^\w\s]|_")
 _ENDS = ".!?:;,)]»”\"'’"
 
 FIELDS = [
@@ -74,12 +87,18 @@ def lines_of(text: str) -> list[str]:
 
 
 def _near(v: np.ndarray) -> np.ndarray:
+    """Sums over each line and its neighbours."""
     out = v.copy()
     out[1:] += v[:-1]
     out[:-1] += v[1:]
     return out
 
 
+def _meet(a: list[int], b: list[int]) -> bool:
+    """Whether a position of both is the same, give or take one."""
+    return any(abs(x - y) < 2 for x in a for y in b)
+
+
 def _period(marks: np.ndarray) -> float:
     """How steadily marked lines follow each other: share of the commonest distance."""
     at = np.flatnonzero(marks)
@@ -88,98 +107,105 @@ def _period(marks: np.ndarray) -> float:
     return float(np.bincount(np.diff(at)).max() / (len(at) - 1))
 
 
-def _autocorr(v: np.ndarray) -> float:
-    if len(v) < 3:
-        return 0.0
-    d = v - v.mean()
-    ss = float(d @ d)
-    return 0.0 if ss == 0 else float(d[:-1] @ d[1:] / ss)
-
-
-def _meet(a: list[int], b: list[int]) -> bool:
-    """Whether a position of both is the same, give or take one."""
-    return any(abs(x - y) < 2 for x in a for y in b)
+def _aligned(stops: list[list[int]]) -> np.ndarray:
+    """Share of each line's neighbours whose delimiters go with its own."""
+    n = len(stops)
+    if n < 2:
+        return np.zeros(n)
+    pair = np.array([bool(a and b) and (len(a) == len(b) or _meet(a, b)) for a, b in zip(stops, stops[1:])], float)
+    both = np.zeros(n)
+    both[1:] += pair
+    both[:-1] += pair
+    both[1:-1] /= 2
+    return both
 
 
-def _over(x: float, span: tuple[float, float]) -> float:
-    return min(max((x - span[0]) / (span[1] - span[0]), 0.0), 1.0)
+def _periodic(marks: np.ndarray) -> np.ndarray:
+    """For each marked line and those up to the next: how many of the nearest
+    distances between marks equal their predecessor."""
+    out = np.zeros(len(marks))
+    at = np.flatnonzero(marks)
+    if len(at) < 3:
+        return out
+    gaps = np.diff(at)
+    steady = (gaps[1:] == gaps[:-1]).astype(float)
+    ends = np.append(at[1:], min(len(marks), at[-1] + int(np.median(gaps))))
+    for k, (a, e) in enumerate(zip(at, ends)):
+        near = steady[max(0, k - 2) : k + 1]
+        out[a:e] = near.mean() if len(near) else 0.0
+    return out
 
 
-def _doubt(entry: np.ndarray, inset: np.ndarray, symbols: float, ends: float, autocorr: float) -> np.ndarray:
-    """How much the layout speaks against prose, 0 to 1 a line: entries and indented
-    lines by how steadily they come, the page by its symbols and line ends, less as
-    its line lengths repeat."""
-    own = np.maximum(entry * _period(entry), (_near(inset.astype(float)) > 0) * _period(inset))
-    page = max(_over(symbols, SYMBOLS), _over(ends, ENDS))
-    return np.maximum(own, page) * (1 - max(autocorr, 0.0))
+def _uneven(sizes: np.ndarray) -> np.ndarray:
+    """1 less the autocorrelation (lag 1, about 0) of the line lengths around each line."""
+    n = len(sizes)
+    if n < 2:
+        return np.zeros(n)
+    squares = sizes * sizes
+    lack = np.concatenate(([0.0], np.cumsum((sizes[1:] - sizes[:-1]) ** 2)))
+    whole = np.concatenate(([0.0], np.cumsum(squares[1:] + squares[:-1])))
+    lo, hi = np.maximum(np.arange(n) - AROUND, 0), np.minimum(np.arange(n) + AROUND, n - 1)
+    return (lack[hi] - lack[lo]) / np.maximum(whole[hi] - whole[lo], 1.0)
 
 
-def measure(text: str | None, common: frozenset[str]) -> tuple | None:
+def measure(text: str | None, common: frozenset[str], weights: dict[str, float] = WEIGHTS) -> tuple | None:
     """The values of ``FIELDS`` for one text; None for a null or blank one."""
     if text is None or not text.strip():
         return None
     lines = lines_of(text)
     n = len(lines)
-    known, words, letters = np.zeros(n), np.zeros(n), 0
-    sizes, cells = np.zeros(n), np.zeros(n, int)
-    entry, starred, capital, clear = (np.zeros(n, bool) for _ in range(4))
-    indent, stops = np.zeros(n, int), []
-    ends = 0
+    entry, indent, stops, counts = [], np.zeros(n, int), [], []
+    is_common, letters = common.__contains__, 0
     for i, line in enumerate(lines):
         bare = line.strip()
-        sizes[i] = len(bare)
+        margin = 0
         if line[0].isspace():
-            blank = line[: len(line) - len(line.lstrip())].expandtabs()
-            indent[i] = len(blank)
-        found = _WORD.findall(bare.lower())
-        if found and (m := _NUMBER.match(bare)):
-            found = found[1:]
-        words[i] = len(found)
-        known[i] = sum(w in common for w in found)
-        length = sum(map(len, found))
-        letters += length
-        clear[i] = length >= CLEAR * (len(bare) - bare.count(" "))
-        stops.append([indent[i] + m.end() for m in _CELL.finditer(bare)])
-        cells[i] = len(stops[i])
-        entry[i] = _ENTRY.match(bare) is not None
-        starred[i] = bare.startswith("***")
-        capital[i] = _DISPLAY.match(bare) is not None
-        ends += bare[-1] in _ENDS
-    own = known / np.maximum(words, 1)
-    near = _near(known) / np.maximum(_near(words), 1)
-    same = np.zeros(n, bool)
-    if n > 1:
-        pair = (cells[1:] == cells[:-1]) & (cells[1:] > 0)
-        for i in np.flatnonzero(~pair & (cells[1:] > 0) & (cells[:-1] > 0)):
-            pair[i] = _meet(stops[i], stops[i + 1])
-        same[1:] |= pair
-        same[:-1] |= pair
-    aligned = same & (own < SURE)
-    # Capitals set a line off only on a page that is not set in capitals itself.
-    display = starred | (capital if capital.mean() < 0.7 else starred)
-    count, total = float(words.sum()), float(sizes.sum())
-    dense = "".join(text.split())
-    digits = sum(map(dense.count, "0123456789"))
-    plain = sum(map(str.isalpha, dense))
-    uppers = sum(map(str.isupper, dense))
-    symbols, autocorr = (len(dense) - plain - digits) / len(dense), _autocorr(sizes)
+            margin = indent[i] = len(line[: len(line) - len(line.lstrip())].expandtabs())
+        found = _WORD.findall(bare)
+        letters += len("".join(found))
+        counts.append((
+            len(bare), len(found), len(_SYMBOL.findall(bare)), len(bare) - bare.count(" "),
+            sum(map(is_common, map(str.lower, found))), bare.count(",") + bare.count(";") + bare.count(":"),
+            sum(map(str.isupper, [w[0] for w in found])), bare[-1] in _ENDS,
+        ))
+        stops.append([margin + m.end() for m in _CELL.finditer(bare)])
+        entry.append(_ENTRY.match(bare) is not None)
+    sizes, words, odd, dense, known, commas, upper, ends = np.array(counts, float).T
+    entry = np.array(entry)
     inset = np.zeros(n, bool)
     inset[1:] = indent[1:] > indent[:-1]
-    doubt = _doubt(entry, inset, symbols, ends / n, autocorr)
-    enough, sure = OWN + doubt * (SURE - OWN), SURE + doubt * (DISPLAY_NEAR - SURE)
-    prose = ((own >= enough) & (near >= NEAR + doubt * (SURE - NEAR)) | (own >= sure)) & ~aligned & clear
-    prose &= ~display | (near >= DISPLAY_NEAR) & (own >= OWN)
+    # Means over a line and its neighbours of each line's own ratio.
+    each, around = np.maximum(words, 1), _near(np.ones(n))
+    evidence = {
+        "aligned": _aligned(stops) * (words <= CELL_WORDS * (np.array([len(s) for s in stops]) + 1)),
+        "periodic": _periodic(entry | inset),
+        "uneven": np.minimum(_uneven(sizes), UNEVEN) / UNEVEN,
+        "symbols": _near(odd / np.maximum(dense, 1)) / around,
+        "commas": _near(np.minimum(commas / each, 1)) / around,
+        "capitals": _near(upper / each) / around,
+        "ends": ends,
+        "common": np.minimum(_near(known) / np.maximum(_near(words), 1), KNOWN) / KNOWN,
+    }
+    prose = sum((weights[k] * evidence[k] for k in SIGNALS), np.full(n, weights["constant"])) > 0
+    prose &= odd < UNREADABLE * dense
+    count, total = float(words.sum()), float(sizes.sum())
+    joined = "".join(text.split())
+    digits, plain = sum(map(joined.count, "0123456789")), sum(map(str.isalpha, joined))
     return (
         int(count), n,
-        letters / count if count else 0.0,
-        symbols, digits / len(dense), uppers / len(dense),
-        ends / n,
-        float(known.sum()) / count if count else 0.0,
-        float((sizes * same).sum()) / total, float(entry.mean()), _period(entry), _period(inset), autocorr,
-        float((sizes * prose).sum()) / total,
+        _ratio(letters, count),
+        (len(joined) - plain - digits) / len(joined), digits / len(joined), sum(map(str.isupper, joined)) / len(joined),
+        float(ends.mean()), _ratio(known.sum(), count),
+        float(sizes @ evidence["aligned"]) / total, float(entry.mean()), _period(entry), _period(inset),
+        1.0 - float(_ratio(((sizes[1:] - sizes[:-1]) ** 2).sum(), (sizes[1:] ** 2 + sizes[:-1] ** 2).sum())),
+        float(sizes @ prose) / total,
     )
 
 
+def _ratio(a: float, b: float) -> float:
+    return float(a) / float(b) if b else 0.0
+
+
 def common_words(table: DataFrame) -> frozenset[str]:
     """The dictionary of common words, a fixed small table (an error beyond ``MAX_COMMON``)."""
     rows = table.select(F.lower("word").alias("w")).filter(F.col("w").isNotNull()).distinct().limit(MAX_COMMON + 1).collect()
@@ -188,7 +214,9 @@ def common_words(table: DataFrame) -> frozenset[str]:
     return frozenset(r.w for r in rows)
 
 
-def statistics(documents: DataFrame, common: frozenset[str], keys: list[str] | None = None) -> DataFrame:
+def statistics(
+    documents: DataFrame, common: frozenset[str], keys: list[str] | None = None, weights: dict[str, float] = WEIGHTS
+) -> DataFrame:
     """(keys, statistics) of each document, in one pass without a shuffle."""
     keys = keys or ["doc_id"]
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
@@ -197,7 +225,7 @@ def statistics(documents: DataFrame, common: frozenset[str], keys: list[str] | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure(x, common) for x in batch["text"].to_pylist()]
+            rows = [measure(x, common, weights) for x in batch["text"].to_pylist()]
             columns = [pa.array([r and r[i] for r in rows], arrow[t]) for i, (_, t) in enumerate(FIELDS)]
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *columns], [*keys, *(n for n, _ in FIELDS)])
 

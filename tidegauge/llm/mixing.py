@@ -6,15 +6,27 @@ each document; which documents get one more is drawn by the cube method: the
 vector of fractional inclusion probabilities walks within the null space of the
 balancing constraints (documents and tokens), so both totals stay as they are,
 until every coordinate is 0 or 1 but for as many as there are constraints.
-Blocks of a source walk in parallel; what they leave undecided, two documents a
-block, walks once more per source together with a bounded reserve, the last few
-land with the token constraint dropped, and documents of the reserve settle the
-tokens that a large document landing either way leaves over.
+
+Blocks of a source walk in parallel.  What they leave undecided, two documents a
+block and a share of a bounded reserve, is put into blocks again and walks once
+more, until a source's rest is one block (a level divides it by about a third of
+``BLOCK``, so three levels do for any corpus); large documents walk first and the
+reserve last, so what is left there are small ones.  They land keeping the number of
+documents, with the token constraint dropped, the last one by its probability alone:
+every document is drawn with its own probability, and a source's tokens are off
+by about one of its last small documents, or where one document outweighs all others'
+freedom, by that document.
+
+The total T is that of the documents of all target sources, each once.  Where
+``max_repeats`` keeps a source below its weight of T, shares come out uneven and the
+report calls it short; ``reachable`` takes the largest total at which every source
+that has documents keeps its weight.
 
 Cases: documents of no target source are left out; null texts have no tokens;
-a target without documents (or tokens) is short and contributes nothing; null
-weights count as 0; targets of short sources are not given to others, the
-report shows the shares reached; an empty corpus gives an empty mix.
+a target without documents (or tokens) contributes nothing and is short if it has
+a weight; null weights count as 0; targets of short sources are not given to
+others, the report shows the shares reached; repeated rows are separate documents;
+an empty corpus gives an empty mix.
 """
 
 from __future__ import annotations
@@ -28,8 +40,8 @@ from tidegauge.llm import tokens as tok
 from tidegauge.session import durable
 
 BLOCK = 20_000
-#: Documents of a source (about) that wait for its last walk.
-RESERVE = 2_000
+#: Documents of a source (about) that wait for its last walk, a tenth of a block.
+RESERVE = 10
 MAX_SOURCES = 10_000
 EPS = 1e-9
 
@@ -83,41 +95,31 @@ def landing(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return p
 
 
-def settle(p: np.ndarray, q: np.ndarray, t: np.ndarray, most: int = 100) -> np.ndarray:
-    """Move single decisions ``q`` while that brings sum(q*t) nearer to sum(p*t)."""
-    q, free = q.copy(), (p > 0) & (p < 1)
-    off = float(((q - p) * t).sum())
-    for _ in range(most):
-        able = np.flatnonzero(free & (q == (1.0 if off > 0 else 0.0)) & (t > 0))
-        if not len(able):
-            break
-        k = able[np.argmin(np.abs(t[able] - abs(off)))]
-        after = off - t[k] if off > 0 else off + t[k]
-        if abs(after) >= abs(off):
-            break
-        q[k], off = 1.0 - q[k], after
-    return q
-
-
-def plan(counted: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target source: weight, max_repeats, docs, tokens, wanted,
-    copies (expected per document) and ``short``: weight * T > max_repeats * tokens.
+def plan(counted: DataFrame, targets: DataFrame, reachable: bool = False) -> DataFrame:
+    """One row per target source: weight, max_repeats, docs, tokens, wanted, and
+    copies (expected per document).
 
-    T, the tokens of all sources, is a window over the target table's rows."""
+    The total is that of all sources, or with ``reachable`` no more than lets every
+    source with documents have its weight; it is a window over the target table's rows."""
     have = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     zero = F.lit(0).cast("bigint")
+    every = Window.partitionBy()
     t = (
         targets.filter(F.col("source").isNotNull())
         .groupBy("source")
         .agg(F.coalesce(F.max("weight"), F.lit(0.0)).alias("weight"), F.coalesce(F.max("max_repeats"), F.lit(1)).alias("max_repeats"))
         .join(have, "source", "left")
         .withColumns({"tokens": F.coalesce("tokens", zero), "docs": F.coalesce("docs", zero)})
-        .withColumn("total", F.sum("tokens").over(Window.partitionBy()))
-        .withColumn("wanted", F.col("weight") * F.col("total"))
+        .withColumn("total", F.sum("tokens").over(every).cast("double"))
     )
-    most = F.col("max_repeats") * F.col("tokens")
-    copies = F.when(F.col("tokens") > 0, F.least(F.col("wanted") / F.when(F.col("tokens") > 0, F.col("tokens")), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0))
-    return t.withColumn("short", F.col("wanted") > most).withColumn("copies", copies)
+    wanted = F.col("weight") * F.col("total")
+    if reachable:
+        bound = F.when((F.col("tokens") > 0) & (F.col("weight") > 0), F.col("max_repeats") * F.col("tokens") / F.col("weight"))
+        t = t.withColumn("total", F.least("total", F.min(bound).over(every)))
+        # No more than there is, however the product is rounded.
+        wanted = F.when(bound.isNotNull(), F.least(wanted, F.col("max_repeats") * F.col("tokens"))).otherwise(wanted)
+    copies = F.least(F.col("wanted") / F.nullif(F.col("tokens"), zero), F.col("max_repeats").cast("double"))
+    return t.withColumn("wanted", wanted).withColumn("copies", F.coalesce(copies, F.lit(0.0)))
 
 
 def counted(documents: DataFrame, targets: DataFrame, folder: str = tok.TOKENIZERS) -> DataFrame:
@@ -127,21 +129,19 @@ def counted(documents: DataFrame, targets: DataFrame, folder: str = tok.TOKENIZE
     return durable(tok.count(wanted.select("doc_id", "source", "text"), ["doc_id", "source"], folder=folder))
 
 
-def _walk(seed: int, last: bool):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, int(last), *[abs(int(x)) for x in pdf[["_s", "shard"]].iloc[0]]])
+def _walk(seed: int, level: int, block: int, last: bool):
+    """One walk over a block's documents; the ``last`` one lands them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng([seed, level, *[abs(int(x)) for x in pdf[["_s", "shard"]].iloc[0]]])
+        wait = np.zeros(len(pdf), bool)
         if not last:
-            kept = pdf["_h"].rank(method="first") <= -(-RESERVE // int(pdf["shards"].iloc[0]))
-            pdf = pd.concat([pdf[~kept], pdf[kept]])
-            n = int((~kept).sum())
-            pdf["reserve"] = [False] * n + [True] * (len(pdf) - n)
-        pdf = pdf.sort_values(["reserve", "n_tokens", "_h", "doc_id"], ascending=[True, False, True, True], kind="stable", ignore_index=True)
-        p, t = pdf["p"].to_numpy(), pdf["n_tokens"].to_numpy().astype(float)
-        if last:
-            pdf["p"] = settle(p, landing(flight(p, t, rng), rng), t)
-        else:
-            n = int((~pdf["reserve"]).sum())
-            pdf["p"] = np.concatenate((flight(p[:n], t[:n], rng), p[n:]))
+            wait = (pdf["_h"].rank(method="first") <= -(-(block // RESERVE) // int(pdf["shards"].iloc[0]))).to_numpy()
+        order = np.lexsort((pdf["doc_id"], pdf["_h"], -pdf["n_tokens"].to_numpy(), wait))
+        pdf, n = pdf.iloc[order].reset_index(drop=True), int((~wait).sum())
+        p, t = pdf["p"].to_numpy(float), pdf["n_tokens"].to_numpy(float)
+        flown = flight(p[:n], t[:n], rng)
+        pdf["p"] = landing(flown, rng) if last else np.concatenate((flown, p[n:]))
         return pdf
 
     return run
@@ -152,8 +152,11 @@ def mix(counted_docs: DataFrame, sources: DataFrame, seed: int = 0, block: int =
 
     ``sources`` is ``plan``'s result, a row per target; it is broadcast only if
     it has no more than ``MAX_SOURCES`` rows."""
+    if block < 20:
+        raise ValueError("a block must hold 20 documents at least")
     s = durable(sources.select("source", F.col("copies").alias("_c"), F.ceil(F.greatest("docs", F.lit(1)) / block).cast("int").alias("_shards")))
-    if s.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES:
+    size = s.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("_shards"), F.lit(1)).alias("most")).first()
+    if size.n <= MAX_SOURCES:
         s = F.broadcast(s)
     units = counted_docs.join(s, "source").select(
         "doc_id",
@@ -165,18 +168,26 @@ def mix(counted_docs: DataFrame, sources: DataFrame, seed: int = 0, block: int =
         F.xxhash64("source").alias("_s"),
         F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("_shards")).cast("int").alias("shard"),
         F.col("_shards").alias("shards"),
-        F.lit(False).alias("reserve"),
     )
-    schema = "doc_id bigint, source string, n_tokens bigint, whole int, p double, _h bigint, _s bigint, shard int, shards int, reserve boolean"
-    flown = durable(units.groupBy("source", "shard").applyInPandas(_walk(seed, False), schema))
-    open_ = (F.col("p") > 0) & (F.col("p") < 1)
-    landed = flown.filter(open_).withColumn("shard", F.lit(0)).groupBy("source").applyInPandas(_walk(seed, True), schema)
-    done = flown.filter(~open_).unionByName(landed)
-    return done.select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("p").cast("int")).alias("copies")).filter(F.col("copies") > 0)
+    schema = "doc_id bigint, source string, n_tokens bigint, whole int, p double, _h bigint, _s bigint, shard int, shards int"
+    undecided = (F.col("p") > 0) & (F.col("p") < 1)
+    done, rest, most, level = units.filter(~undecided), units.filter(undecided), size.most, 0
+    while most > 1:
+        flown = durable(rest.groupBy("source", "shard").applyInPandas(_walk(seed, level, block, False), schema))
+        done = done.unionByName(flown.filter(~undecided))
+        # At most two undecided documents a block, one more for the reserve's rounding, and the reserve.
+        fewer = F.ceil((3 * F.col("shards") + block // RESERVE) / block).cast("int")
+        rest = flown.filter(undecided).withColumn("shards", fewer)
+        rest = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 2 + level)), F.col("shards")).cast("int"))
+        most, level = -(-(3 * most + block // RESERVE) // block), level + 1
+    landed = rest.groupBy("source").applyInPandas(_walk(seed, level, block, True), schema)
+    drawn = done.unionByName(landed)
+    return drawn.select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("p").cast("int")).alias("copies")).filter(F.col("copies") > 0)
 
 
 def report(mixed: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per target source: wanted and reached tokens and shares, documents used, short."""
+    """Per target source: wanted and reached tokens and shares, documents used, and
+    ``short``: the mix holds every token ``max_repeats`` times and still lacks some."""
     used = mixed.groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("copies")).alias("reached"),
         F.sum("copies").alias("used"),
@@ -188,5 +199,5 @@ def report(mixed: DataFrame, sources: DataFrame) -> DataFrame:
         "source", "weight", "max_repeats", "docs", "tokens", "wanted", "reached", "used",
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
         (F.col("reached") / F.nullif(F.sum("reached").over(Window.partitionBy()), F.lit(0))).alias("share"),
-        "short",
+        ((F.col("reached") == F.col("max_repeats") * F.col("tokens")) & (F.col("wanted") > F.col("reached"))).alias("short"),
     )

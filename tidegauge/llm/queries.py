@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import frequent, kmv, mixing, quality, tokens
+from tidegauge.session import durable
 from tidegauge.sources.monitoring import table, usable_messages, with_message
 
 # -- 2: most frequent items ---------------------------------------------------
@@ -146,23 +147,30 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 # -- 9: mixing --------------------------------------------------------------------
 
 
-def _mix_plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, d: str, reachable: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The mix, and the plan it follows."""
     targets = table(spark, d, "mix_target")
     counted = mixing.counted(table(spark, d, "documents"), targets)
-    return counted, mixing.plan(counted, targets)
+    plan = durable(mixing.plan(counted, targets, reachable))
+    return mixing.mix(counted, plan), plan
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mix_plan(spark, d)[1].filter("short").select("source")
+    """Sources that the finished mix reports as short."""
+    return mixing.report(*_mixed(spark, d)).filter("short").select("source")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(*_mix_plan(spark, d))
+    return _mixed(spark, d)[0]
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    counted, plan = _mix_plan(spark, d)
-    return mixing.report(mixing.mix(counted, plan), plan)
+    return mixing.report(*_mixed(spark, d))
+
+
+def p9_balanced(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the largest mix in which every source with documents has its weight."""
+    return mixing.report(*_mixed(spark, d, reachable=True))
 
 
 # -- 10: quality --------------------------------------------------------------------
@@ -183,7 +191,7 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_top, p3_found, p3_counts, p3_exporters, p8_ids, p8_roundtrip, p9_found, p9_mix, p9_report, p10_found, p10_stats,
+        p2_found, p2_top, p3_found, p3_counts, p3_exporters, p8_ids, p8_roundtrip, p9_found, p9_mix, p9_report, p9_balanced, p10_found, p10_stats,
     )
 }
 

@@ -165,6 +165,42 @@ def test_spikes_against_brute_force(spark):
     assert 9002 not in got and 10_005 not in got
 
 
+def heavy_tailed(n, seed):
+    """Normal values with a season of two levels and a few far spikes."""
+    g = np.random.default_rng(seed)
+    v = g.normal(0, 1, n) + np.where(np.arange(n) // 60 % 24 < 12, 0.0, 0.5)
+    far = g.choice(n, 12, replace=False)
+    v[far] = g.choice([-60.0, 45.0, 200.0], 12)
+    return v, set(far.tolist())
+
+
+def test_the_fit_sets_the_cutoff(spark):
+    rows, far = [], set()
+    for s in range(3):
+        v, f = heavy_tailed(2000, s)
+        rows += [metric(s * 10_000 + i, 60.0 * i, [float(x)], inst=str(s)) for i, x in enumerate(v)]
+        far |= {s * 10_000 + i for i in f}
+    df = spark.createDataFrame(rows, METRIC)
+    types = spark.createDataFrame([("g", 0, "v", "gauge", None, None)], TYPES)
+
+    def tails(risk, **rules):
+        flags = spikes.spikes(readings(df), types, spikes.Rules(risk=risk, **rules)).filter("rule = 'tail'").collect()
+        return {x.metric_id: x for x in flags}
+
+    runs = [tails(r) for r in (1e-2, 1e-3, 1e-4, 1e-6)]
+    sizes = [len(x) for x in runs]
+    assert sizes == sorted(sizes, reverse=True) and sizes[0] > sizes[1] > sizes[2] >= sizes[3]
+    assert all(set(b) <= set(a) for a, b in zip(runs, runs[1:]))
+    # At a risk of 1 in 10 000 the spikes and about that share of normal values are left.
+    assert far <= set(runs[2]) and len(set(runs[2]) - far) <= 6
+    cutoffs = {x.cutoff / x.scale for x in runs[2].values()}
+    assert len(cutoffs) == 3 and all(4 < c < 9 for c in cutoffs) and {x.fit for x in runs[2].values()} == {"series"}
+    # Untrimmed, the spikes inflate the fit and hide behind it.
+    assert not far <= set(tails(1e-4, trim_mads=1e9))
+    assert {x.fit for x in tails(1e-4, least_peaks=10**9).values()} == {"none"}
+    assert {x.fit for x in tails(1e-4, prior=1000).values()} == {"pooled"}
+
+
 def test_spikes_empty(spark):
     df, types = spark.createDataFrame([], METRIC), spark.createDataFrame([], TYPES)
     assert spikes.spikes(readings(df), types).collect() == []

@@ -6,14 +6,19 @@ Each value is judged by its own series and value position:
 * *tail*: a peaks-over-threshold model of the seasonal residuals.  The residual
   is the value less the series' median and less its seasonal median (by hour of
   day, held within ``season_mads`` median distances).  Residuals beyond
-  ``peak_mads`` median distances are peaks; a generalised Pareto law fitted to
-  the excesses of a series' peaks by moments sets the cut-off that a normal
-  value exceeds with probability ``risk``.  Spikes inflate the very fit that
-  should find them, so the cut-off never goes beyond ``ceiling_mads`` median
-  distances;
+  ``peak_mads`` median distances are peaks; a generalised Pareto law of the
+  excesses sets the cut-off that a normal value exceeds with probability ``risk``.
+  Excesses, in median distances, share one shape over all series; scale and rate of
+  peaks are each series' own, drawn towards those of all by ``prior`` peaks, so a
+  series of few peaks has a cut-off too.  Spikes must not inflate the fit that should
+  find them: peaks beyond ``trim_mads`` take no part in it (no cut-off is held there);
 * *stuck*: one of at least ``stuck`` consecutive readings with the same values.
 
 A series whose plausible values never differ has no tail and no stuck values.
+``fit`` tells what a cut-off rests on: ``series`` (``prior`` own peaks or more),
+``pooled`` (fewer), or ``none`` where no fit is possible, for series whose median
+distance is 0 or when there are fewer than ``least_peaks`` peaks in all; the cut-off
+is then the threshold of the peaks.
 
 Every statistic is a map-side combined aggregate (quantile sketches, counts,
 moments), so one series may hold any share of the rows.  Medians are exact for
@@ -41,9 +46,11 @@ from tidegauge.sources.monitoring import bigint_floor, series_hash
 @dataclass(frozen=True)
 class Rules:
     risk: float = 1e-4
-    peak_mads: float = 6.0
-    season_mads: float = 3.0
-    ceiling_mads: float = 9.0
+    peak_mads: float = 4.0
+    season_mads: float = 2.0
+    trim_mads: float = 9.0
+    prior: int = 10
+    least_peaks: int = 30
     stuck: int = 15
     block_s: int = 21_600
     accuracy: int = 100_000
@@ -119,8 +126,8 @@ def candidates(points: DataFrame, normal: DataFrame, rules: Rules) -> DataFrame:
     return points.join(normal, KEY, "left").filter(F.col("bad") | near)
 
 
-def tails(points: DataFrame, near: DataFrame, rules: Rules) -> DataFrame:
-    """Peaks beyond their series' cut-off: (metric_id, pos, v, centre, scale, residual, cutoff)."""
+def tails(points: DataFrame, near: DataFrame, normal: DataFrame, rules: Rules) -> DataFrame:
+    """Peaks beyond their series' cut-off: (metric_id, pos, v, centre, scale, residual, cutoff, fit)."""
     seasons = points.filter(~F.col("bad")).groupBy(*KEY, "hour").agg(F.percentile_approx("v", 0.5, 1000).alias("_hourly"))
     bound = rules.season_mads * F.col("scale")
     season = F.coalesce(F.least(F.greatest(F.col("_hourly") - F.col("centre"), -bound), bound), F.lit(0.0))
@@ -129,22 +136,37 @@ def tails(points: DataFrame, near: DataFrame, rules: Rules) -> DataFrame:
         .withColumn("residual", F.col("v") - F.col("centre") - season)
         .withColumn("excess", F.abs("residual") - rules.peak_mads * F.col("scale"))
         .filter(F.col("excess") > 0)
+        .select("metric_id", *KEY, "v", "centre", "scale", "count", "residual", "excess")
     )
-    # Moments of the excesses: shape = (1 - m^2/s^2)/2, sigma = m (1 + m^2/s^2)/2.
-    fit = peaks.groupBy(*KEY).agg(
-        F.avg("excess").alias("_m"), F.var_pop("excess").alias("_s2"), F.count(F.lit(1)).alias("peaks")
+    # Excesses in median distances, those of presumed spikes left out.
+    e = F.col("excess") / F.col("scale")
+    fitted = peaks.filter((F.col("scale") > 0) & (e <= rules.trim_mads - rules.peak_mads))
+    own = durable(
+        fitted.groupBy(*KEY, "count").agg(F.count(F.lit(1)).alias("peaks"), F.sum(e).alias("_e"), F.sum(e * e).alias("_e2"))
     )
-    ratio = F.when(F.col("_s2") > 0, F.col("_m") * F.col("_m") / F.col("_s2")).otherwise(F.lit(1.0))
-    shape = F.greatest((1 - ratio) / 2, F.lit(-0.5))
-    sigma = F.col("_m") * (1 + ratio) / 2
-    odds = F.greatest(F.lit(rules.risk) * F.col("count") / F.col("peaks"), F.lit(1e-12))
-    beyond = F.when(F.abs(shape) < 1e-6, -sigma * F.log(odds)).otherwise(sigma / shape * (F.pow(odds, -shape) - 1))
-    cutoff = F.least(F.col("scale") * rules.peak_mads + F.greatest(beyond, F.lit(0.0)), F.col("scale") * rules.ceiling_mads)
+    of_all = own.agg(F.sum("peaks").alias("n"), F.sum("_e").alias("e"), F.sum("_e2").alias("e2")).first()
+    values = normal.filter(F.col("scale") > 0).agg(F.sum("count").alias("n")).first().n
+    threshold = rules.peak_mads * F.col("scale")
+    kept = ["metric_id", "pos", "v", "centre", "scale", "residual", "cutoff", "fit"]
+    if not of_all.n or of_all.n < rules.least_peaks:
+        return peaks.select(*[c for c in kept if c not in ("cutoff", "fit")], threshold.alias("cutoff"), F.lit("none").alias("fit"))
+    # Moments: shape = (1 - m^2/s^2)/2, scale = m (1 - shape).
+    mean = of_all.e / of_all.n
+    spread = max(of_all.e2 / of_all.n - mean * mean, 1e-12)
+    shape = min(max((1 - mean * mean / spread) / 2, -0.5), 0.3)
+    shape = shape if abs(shape) > 1e-6 else 1e-6
+    rate = of_all.n / values
+    n, total = F.coalesce("peaks", F.lit(0)), F.coalesce("_e", F.lit(0.0))
+    sigma = (total + rules.prior * mean) / (n + rules.prior) * (1 - shape)
+    odds = (n + rules.prior) / (F.col("count") + rules.prior / rate) / rules.risk
+    beyond = F.greatest(sigma / shape * (F.pow(odds, F.lit(shape)) - 1), F.lit(0.0))
+    fit = F.when(F.col("scale") == 0, "none").when(n >= rules.prior, "series").otherwise("pooled")
     return (
-        peaks.join(fit, KEY)
-        .withColumn("cutoff", cutoff)
+        peaks.join(own.drop("count"), KEY, "left")
+        .withColumn("cutoff", threshold + F.col("scale") * beyond)
         .filter(F.abs("residual") > F.col("cutoff"))
-        .select("metric_id", "pos", "v", "centre", "scale", "residual", "cutoff")
+        .withColumn("fit", fit)
+        .select(*kept)
     )
 
 
@@ -186,18 +208,18 @@ def stuck(limited: DataFrame, series: DataFrame, rules: Rules) -> DataFrame:
 
 
 def spikes(readings: DataFrame, metric_type: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """All flags: (metric_id, rule, pos, v, centre, scale, cutoff); ``pos`` and
+    """All flags: (metric_id, rule, pos, v, centre, scale, cutoff, fit); ``pos`` and
     what follows are null for stuck readings, whose run length is in ``cutoff``."""
     limited = with_limits(readings, metric_type)
     points = _points(limited)
     normal = normals(points, rules)
     found = durable(candidates(points, normal, rules))
-    none = F.lit(None).cast("double")
+    none, unfitted = F.lit(None).cast("double"), F.lit(None).cast("string").alias("fit")
     implausible = found.filter("bad").select(
-        "metric_id", F.lit("implausible").alias("rule"), "pos", "v", none.alias("centre"), none.alias("scale"), none.alias("cutoff")
+        "metric_id", F.lit("implausible").alias("rule"), "pos", "v", none.alias("centre"), none.alias("scale"), none.alias("cutoff"), unfitted
     )
-    tail = tails(points, found.filter(~F.col("bad")), rules).select(
-        "metric_id", F.lit("tail").alias("rule"), "pos", "v", "centre", "scale", "cutoff"
+    tail = tails(points, found.filter(~F.col("bad")), normal, rules).select(
+        "metric_id", F.lit("tail").alias("rule"), "pos", "v", "centre", "scale", "cutoff", "fit"
     )
     frozen = stuck(limited, normal.select("s1", "s2").distinct(), rules).select(
         "metric_id",
@@ -207,6 +229,7 @@ def spikes(readings: DataFrame, metric_type: DataFrame, rules: Rules = Rules())
         none.alias("centre"),
         none.alias("scale"),
         F.col("run_length").cast("double").alias("cutoff"),
+        unfitted,
     )
     return implausible.unionByName(tail).unionByName(frozen)
 

@@ -46,6 +46,21 @@ def test_items_of_arrays(spark):
     assert sorted(map(tuple, rows)) == [("a", 1), ("b", 2), ("b", 3)]
 
 
+def test_heavy_items_whatever_a_row_holds(spark):
+    r = random.Random(9)
+    rows = [(1, [int(r.paretovariate(0.6)) for _ in range(r.choice([0, 1, 25]))], None if r.random() < 0.1 else [7]) for _ in range(400)] + [(2, None, None), (2, [3], [])]
+    df = spark.createDataFrame(rows, "g long, a array<long>, b array<int>")
+    most = frequent.most_items(df, ["a", "b"])
+    assert most == 25 and frequent.most_items(df.limit(0), ["a", "b"]) == 1 and frequent.most_items(df.filter("g = 2"), ["a"]) == 1
+    items = df.select("g", F.explode(frequent.items_of({"a": "a"})).alias("x")).select("g", "x.item")
+    totals = df.groupBy("g").agg(F.count(F.lit(1)).alias("total"))
+    for share in (0.05, 0.02):  # 500 and 1250 candidates
+        got = {(x.g, x.item, x.n) for x in frequent.heavy(items, totals, ["g"], "item", share, most).collect()}
+        c = Counter((g, i) for g, a, _ in rows for i in set(a or []))
+        n = Counter(g for g, _, _ in rows)
+        assert got == {(g, i, k) for (g, i), k in c.items() if k >= share * n[g]}
+
+
 def test_local_limit_comes_before_the_shuffle(spark):
     plan = frequent.top_k(spark.range(100).selectExpr("id % 3 g", "id item"), ["g"], "item", 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
@@ -84,6 +99,36 @@ def test_kmv_merge_and_set_operations(spark):
     assert abs(r.both - 10_000) < 2500 and abs(r.new - 10_000) < 2500
 
 
+def test_bounds_stay_open_where_a_sketch_shows_none_or_all(spark):
+    k = 256
+    rows = spark.range(40_000).selectExpr("explode(case when id < 20050 and id >= 20000 then array('a','b') when id < 20000 then array('a') else array('b') end) g", "id v")
+    s = kmv.sketches(rows.select("g", kmv.hashed(F.col("v")).alias("h")), ["g"], k)
+    a, b = (s.filter(F.col("g") == g).select(F.col("kmv").alias(g)) for g in "ab")
+    both, lo, hi = kmv.intersection(F.col("a"), F.col("b"), k)
+    none, nlo, nhi = kmv.difference(F.col("a"), F.col("a"), k)
+    r = a.crossJoin(b).select(both, lo.alias("lo"), hi.alias("hi"), none.alias("none"), nlo.alias("nlo"), nhi.alias("nhi")).collect()[0]
+    assert r.lo <= 50 <= r.hi and r.none == r.nlo == 0 < r.nhi < 1000
+
+
+def test_map_tasks_sketch_before_the_shuffle(spark):
+    """A group sends k hashes a task at most, repeats included, however many rows it has."""
+    k = 64
+    hot = spark.range(0, 40_000, 1, 4).selectExpr("cast(null as string) g", "id % 3 d", "xxhash64(id % 9000) h")
+    rows = hot.unionByName(spark.createDataFrame([("x", 1, 5), ("x", 1, 5), ("x", 2, None)], "g string, d long, h long"))
+    tasks = rows.rdd.getNumPartitions()
+    parts = kmv.partials(rows, ["g", "d"], [["g"], ["d"], ["g", "d"]], k, buffer=1_000_000).collect()
+    for i, groups in enumerate((2, 3, 4)):
+        mine = [p for p in parts if p._g == i]
+        assert len(mine) <= groups * k * tasks and len({(p.g, p.d) for p in mine}) == groups
+    assert all(p.d is None for p in parts if p._g == 0) and all(p.g is None for p in parts if p._g == 1)
+    want = sorted(r.h for r in hot.select("h").distinct().collect())[:k]
+    for buffer in (1_000_000, 100):
+        got = kmv.counts_of(kmv.partials(rows, ["g"], [["g"]], k, buffer), ["g"], k).collect()
+        assert {(r.g, r.n, r.kth) for r in got} == {(None, k, want[-1]), ("x", 1, 5)}
+    assert kmv.partials(rows.limit(0), ["g"], [["g"], []], k).collect() == []
+    assert kmv.counts_of(kmv.partials(rows, ["g"], [[]], k), ["_g"], k).collect()[0].n == k
+
+
 # -- tokens
 
 

@@ -33,22 +33,32 @@ def items_of(arrays: dict[str, str]) -> Column:
     return F.concat(*[one(f, c) for f, c in arrays.items()])
 
 
+def most_items(table: DataFrame, arrays: list[str]) -> int:
+    """The largest number of elements that one array of the table holds."""
+    sizes = [F.coalesce(F.size(c), F.lit(0)) for c in arrays]
+    return max(table.agg(F.max(F.greatest(*sizes) if len(sizes) > 1 else sizes[0])).first()[0] or 0, 1)
+
+
+def _counts(rows: DataFrame, group: list[str], item: str) -> DataFrame:
+    return rows.filter(F.col(item).isNotNull()).groupBy(*group, item).agg(F.count(F.lit(1)).alias("n"))
+
+
 def top_k(rows: DataFrame, group: list[str], item: str, k: int) -> DataFrame:
     """(group, item, n, rank) of the k most frequent items of each group."""
     if not 0 < k <= MAX_K:
         raise ValueError(f"k must be in 1..{MAX_K}")
-    counts = rows.filter(F.col(item).isNotNull()).groupBy(*group, item).agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy(*group).orderBy(F.col("n").desc(), F.col(item))
-    return counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return _counts(rows, group, item).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def heavy(rows: DataFrame, totals: DataFrame, group: list[str], item: str, share: float, per_row: int) -> DataFrame:
     """Items in at least ``share`` of their group's rows, with ``total``.
 
-    ``totals`` has (group, total).  If a row holds at most ``per_row`` items,
-    no more than per_row/share items can reach the share, so that many are the
-    top k looked at and none is lost.
+    ``totals`` has (group, total).  If a row holds at most ``per_row`` items (see
+    ``most_items``), no more than per_row/share items can reach the share, so that
+    many are the top k looked at and none is lost.  Where those are more than
+    ``MAX_K``, all counts are held against the share.
     """
-    k = -(-per_row // share)
-    best = top_k(rows, group, item, int(k))
+    k = int(-(-per_row // share))
+    best = top_k(rows, group, item, k) if k <= MAX_K else _counts(rows, group, item)
     return best.join(totals, group).filter(F.col("n") >= share * F.col("total"))

@@ -11,9 +11,6 @@ from tidegauge.sources.monitoring import table, usable_messages, with_message
 
 # -- 2: most frequent items ---------------------------------------------------
 
-#: Arrays hold two elements (from, to) by definition, and up to four as stored.
-PER_FLOW = 4
-
 
 def _flow_days(spark: SparkSession, d: str, *columns, **also) -> DataFrame:
     flows = table(spark, d, "nf_flow").select("msg_id", *columns)
@@ -37,9 +34,8 @@ DAY_FIELD = ["utc_day", "field"]
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return frequent.heavy(_items(spark, d), _totals(spark, d), DAY_FIELD, "item", 0.01, PER_FLOW).select(
-        *DAY_FIELD, "item"
-    )
+    most = frequent.most_items(table(spark, d, "nf_flow"), ["addr", "port"])
+    return frequent.heavy(_items(spark, d), _totals(spark, d), DAY_FIELD, "item", 0.01, most).select(*DAY_FIELD, "item")
 
 
 def p2_top(spark: SparkSession, d: str) -> DataFrame:
@@ -77,35 +73,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return c.filter(kmv.estimate(F.col("n"), F.col("kth")) >= 100).select("utc_day", "addr", "counted")
 
 
-SETS = [["utc_day"], ["source"], ["utc_day", "source"], ["addr"], ["utc_day", "addr"], ["source", "addr"]]
+KEYS = ["utc_day", "source", "addr"]
+SETS = [[k for i, k in enumerate(KEYS) if m >> i & 1] for m in range(1, 8)]
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     """Distinct peers and peer ports for days, exporters, senders and all combinations,
-    with 95 % bounds; every coarser sketch is merged from the finest ones' hashes.
+    with 95 % bounds.  Map tasks sketch all groupings; one shuffle brings them together.
 
     Shuffled rows name their grouping and what they count by a byte."""
-    keys = ["utc_day", "source", "addr"]
     contacts = _contacts(spark, d).withColumn("_c", (F.col("counted") == "port").cast("tinyint"))
-    finest = kmv.smallest(contacts, [*keys, "_c"])
-    kinds = dict(finest.dtypes)
-    groups = F.array(*[
-        F.struct(
-            F.lit(i).cast("tinyint").alias("_g"),
-            *[(F.col(k) if k in s else F.lit(None).cast(kinds[k])).alias(k) for k in keys],
-        )
-        for i, s in enumerate(SETS)
-    ])
-    rows = finest.select("_c", "h", F.explode(groups).alias("g")).select("g.*", "_c", "h")
-    coarse = kmv.counts(rows, ["_g", *keys, "_c"])
-    # The finest groups are sketched already, and partitioned by their keys.
-    fine = finest.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("kth"))
-    n = coarse.unionByName(fine.withColumn("_g", F.lit(len(SETS)).cast("tinyint")))
-    names = F.array(*[F.lit(",".join(s)) for s in [*SETS, keys]])
+    parts = kmv.partials(contacts, [*KEYS, "_c"], [[*s, "_c"] for s in SETS])
+    n = kmv.counts_of(parts, ["_g", *KEYS, "_c"])
+    names = F.array(*[F.lit(",".join(s)) for s in SETS])
     lo, hi = kmv.bounds(F.col("n"), F.col("kth"))
     return n.select(
         F.get(names, F.col("_g").cast("int")).alias("grouping"),
-        *keys,
+        *KEYS,
         F.when(F.col("_c") == 1, "port").otherwise("addr").alias("counted"),
         kmv.estimate(F.col("n"), F.col("kth")).alias("estimate"),
         lo.alias("lower"),
@@ -113,6 +97,29 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of whole days put together from the sketches of exporters' days, and how
+    they compare with counting: groups, and whether the true counts lie within the
+    bounds for nine groups of ten at least (95 % are expected)."""
+    contacts = _contacts(spark, d)
+    days = kmv.sketches(contacts, ["utc_day", "source", "counted"])
+    merged = {g: kmv.merge(days, [g, "counted"]) for g in ("utc_day", "source")}
+    merged["utc_day,source"] = days
+    out = None
+    for name, sketch in merged.items():
+        by = [*name.split(","), "counted"]
+        # Null-safe by a hash of the group, which stands for it.
+        key = F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in by]).alias("_k")
+        truth = contacts.select(key, "counted", "h").distinct().groupBy("_k", "counted").agg(F.count(F.lit(1)).alias("true_n"))
+        lo, hi = kmv.bounds(F.size("kmv").cast("bigint"), F.element_at("kmv", -1))
+        held = sketch.select(key, lo.alias("lo"), hi.alias("hi")).join(truth, "_k").select(
+            F.lit(name).alias("grouping"), "counted", "true_n", F.col("true_n").between(F.col("lo"), F.col("hi")).cast("int").alias("in")
+        )
+        rows = held.groupBy("grouping", "counted").agg(F.count(F.lit(1)).alias("groups"), F.sum("true_n").alias("total"), (F.avg("in") >= 0.9).alias("held"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def p3_exporters(spark: SparkSession, d: str) -> DataFrame:
     """Peers and peer ports that each exporter's days share with the day before:
     union, intersection and difference of mergeable sketches, with bounds."""
@@ -191,7 +198,7 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_top, p3_found, p3_counts, p3_exporters, p8_ids, p8_roundtrip, p9_found, p9_mix, p9_report, p9_balanced, p10_found, p10_stats,
+        p2_found, p2_top, p3_found, p3_counts, p3_merged, p3_exporters, p8_ids, p8_roundtrip, p9_found, p9_mix, p9_report, p9_balanced, p10_found, p10_stats,
     )
 }
 
@@ -211,5 +218,11 @@ SQL = {
     "p3_found": f"""WITH {_DAYS}, x AS (SELECT utc_day, addr[1] AS addr, 'addr' AS counted, addr[2] AS v FROM f
  UNION ALL SELECT utc_day, addr[1], 'port', port[2] FROM f)
  SELECT utc_day, addr, counted FROM x WHERE addr IS NOT NULL GROUP BY ALL HAVING count(DISTINCT v) >= 100""",
+    "p3_merged": f"""WITH {_DAYS}, x AS (SELECT utc_day, source, 'addr' AS counted, addr[2] AS v FROM f
+ UNION ALL SELECT utc_day, source, 'port', port[2] FROM f),
+ n AS (SELECT 'utc_day' AS grouping, counted, count(DISTINCT v) AS n FROM x WHERE v IS NOT NULL GROUP BY utc_day, counted
+ UNION ALL SELECT 'source', counted, count(DISTINCT v) FROM x WHERE v IS NOT NULL GROUP BY source, counted
+ UNION ALL SELECT 'utc_day,source', counted, count(DISTINCT v) FROM x WHERE v IS NOT NULL GROUP BY utc_day, source, counted)
+ SELECT grouping, counted, count(*) AS groups, CAST(sum(n) AS BIGINT) AS total, true AS held FROM n GROUP BY ALL""",
     "p8_roundtrip": "SELECT doc_id FROM documents WHERE false",
 }

@@ -269,6 +269,17 @@ def test_ssa_on_short_and_constant_series(x):
         assert not np.isnan(y).any()
 
 
+def test_how_holes_came_by_their_values():
+    r = np.random.default_rng(3)
+    noisy = r.normal(size=60)
+    noisy[[7, 8, 30]] = np.nan
+    flat = np.array([2.0, 2.0, np.nan] * 20)
+    assert grid.ssa_impute(noisy)[1] == grid.FILLED and grid.ssa_impute(noisy, rounds=1)[1] == grid.UNCONVERGED
+    assert grid.ssa_impute(flat)[1] == grid.INTERPOLATED == grid.ssa_impute(np.array([1.0, np.nan, 3.0]))[1]
+    assert grid.ssa_impute(np.full(4, np.nan))[1] == grid.UNKNOWN and grid.ssa_impute(np.arange(3.0))[1] == grid.FILLED
+    assert grid.STATES[2 + 2 * grid.UNCONVERGED] == "unconverged" and grid.STATES[1 + 2 * grid.UNKNOWN] == "no_value_unknown"
+
+
 def test_grid(spark):
     nan = float("nan")
     rows = [metric(k, float(t), [v]) for k, (t, v) in enumerate([(3, 1.0), (14, 2.0), (55, nan), (58, 4.0), (71, 5.0), (72, 7.0), (109, nan)])]
@@ -278,7 +289,7 @@ def test_grid(spark):
     g = grid.regular(df, hosts)
     cells = {(x.plugin_instance, x.slot_start): (x.state, x.value) for x in g.collect()}
     assert len(cells) == 11 * 2 + 1
-    assert cells[(None, 70)] == ("observed", 6.0) and cells[(None, 100)][0] == "no_value" and cells[(None, 20)][0] == "filled"
+    assert cells[(None, 70)] == ("observed", 6.0) and cells[(None, 100)][0] == "no_value_interpolated" and cells[(None, 20)][0] == "interpolated"
     assert cells[(None, 20)][1] is not None
     missing = sorted(x.slot_start for x in grid.missing_slots(g).collect())
     assert missing == [30, 40, 60, 80, 90]

@@ -7,7 +7,8 @@ singular-spectrum imputation: start from interpolation, embed the series in a
 Hankel trajectory matrix, keep its leading singular vectors, average the
 diagonals, put the result where entries were missing, and repeat until the
 change is small.  Filled entries are marked, observed ones never changed; where the
-iteration does not converge the interpolation stays, under a state of its own.
+iteration does not converge, or a series has too little for it, entries are
+interpolated, each under a state of its own.
 
 A channel-day has at most 86400/step slots after bucketing, whatever share of
 the rows its source has; channels are independent tasks.
@@ -15,8 +16,8 @@ the rows its source has; channels are independent tasks.
 Cases: rows without key or time are no readings; sources without a known
 positive step are left out; several readings in a slot give their mean; NaN and
 infinite values count as a reading without a value (the slot is filled but not
-marked missing); a channel without any value keeps nulls, one with fewer values
-than a window, or none that differ, is interpolated; null array elements are skipped; an empty input gives an empty grid; further columns are ignored.
+marked missing); a channel without any value keeps nulls (``unknown``), one with fewer
+values than a window, or none that differ, is interpolated; null array elements are skipped; an empty input gives an empty grid; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ from tidegauge.sources.monitoring import DAY_S, bigint_floor
 
 SOURCE = ["host", "plugin_name"]
 CHANNEL = [*SOURCE, "plugin_instance", "type_name", "attribute", "pos"]
+#: How a hole came by its value.
+FILLED, INTERPOLATED, UNCONVERGED, UNKNOWN = range(4)
+#: States by number: 0 a reading with a value, then for each of the above a reading
+#: without one and a slot without a reading.
+STATES = ["observed", *(x for how in ("filled", "interpolated", "unconverged", "unknown") for x in ("no_value" if how == "filled" else f"no_value_{how}", how))]
 #: Guard against series that never settle; what it stops is marked.
 ROUNDS = 2000
 FAR = 1000
@@ -67,10 +73,10 @@ def _solve(links: np.ndarray, holes: np.ndarray, right: np.ndarray, width: int)
     return np.concatenate(parts)
 
 
-def ssa_impute(x: np.ndarray, window: int = 16, rank: int = 3, rounds: int = ROUNDS, tol: float = 1e-3) -> tuple[np.ndarray, bool]:
-    """``x`` with its NaN entries imputed (all NaN if nothing is known), and whether
-    the change came under ``tol`` of the series' scale within ``rounds``; if not,
-    the holes are interpolated.
+def ssa_impute(x: np.ndarray, window: int = 16, rank: int = 3, rounds: int = ROUNDS, tol: float = 1e-3) -> tuple[np.ndarray, int]:
+    """``x`` with its NaN entries imputed (all NaN if nothing is known), and how: ``FILLED``
+    if the change came under ``tol`` of the series' scale within ``rounds``, else the
+    holes are interpolated.
 
     Replacing the holes by the averaged diagonals is a step down the squared
     distance of the trajectory matrix from its leading subspace; its fixed point
@@ -85,7 +91,7 @@ def ssa_impute(x: np.ndarray, window: int = 16, rank: int = 3, rounds: int = ROU
     gap = np.isnan(x)
     known = np.flatnonzero(~gap)
     if not len(known) or len(known) == n:
-        return x.copy(), True
+        return x.copy(), FILLED if n and len(known) else UNKNOWN
     holes = np.flatnonzero(gap)
     centre = x[known].mean()
     y = x - centre
@@ -93,7 +99,7 @@ def ssa_impute(x: np.ndarray, window: int = 16, rank: int = 3, rounds: int = ROU
     scale = np.sqrt(np.mean(y[known] ** 2))
     width = min(window, n // 2)
     if width < 2 or scale == 0 or len(known) < width:
-        return y + centre, True
+        return y + centre, INTERPOLATED
     rank = min(rank, width - 1)
     rows = n - width + 1
     # What ties a hole to a slot at a lag: the sum of a stretch of the projection's
@@ -142,7 +148,7 @@ def ssa_impute(x: np.ndarray, window: int = 16, rank: int = 3, rounds: int = ROU
             break
     if not done:
         y[holes] = line
-    return y + centre, done
+    return y + centre, FILLED if done else UNCONVERGED
 
 
 def ssa_fill(x: np.ndarray, window: int = 16, rank: int = 3, rounds: int = ROUNDS, tol: float = 1e-3) -> np.ndarray:
@@ -167,12 +173,11 @@ def _filler(window: int, rank: int, rounds: int, tol: float, holes_only: bool):
                 x = np.full(size, np.nan)
                 at = slots[a:b] - lo[i]
                 x[at] = values[a:b]
-                state = np.full(size, 2, np.int8)  # 2: no reading, 1: no value, 0: observed; 4 and 3 unconverged
+                state = np.full(size, 2, np.int8)  # 2: no reading, 1: no value, 0: observed
                 state[at] = np.where(np.isnan(values[a:b]), 1, 0)
-                y, done = ssa_impute(x, window, rank, rounds, tol)
+                y, how = ssa_impute(x, window, rank, rounds, tol)
                 show = np.flatnonzero(state == 2) if holes_only else np.arange(size)
-                if not done:
-                    state[state > 0] += 2
+                state[state > 0] += 2 * how
                 sizes.append(len(show))
                 out_slot.append(show + lo[i])
                 out_value.append(y[show])
@@ -202,8 +207,9 @@ def regular(
     """(channel, utc_day, slot_start, value, state, channels), one row per channel
     and slot between the first and last of its source's day.
 
-    ``state`` is observed, no_value (a reading, filled value) or filled, and
-    no_value_unconverged or unconverged where the filled value is no fixed point;
+    ``state`` is observed, no_value (a reading, filled value) or filled; interpolated,
+    unconverged and unknown (and these with no_value_ before them) tell where the
+    value is no fixed point of the imputation, or null;
     ``channels`` counts the channels of the source that day.  ``holes_only``
     leaves out slots in which the channel has a reading.
     """
@@ -243,7 +249,7 @@ def regular(
             schema + ", channels bigint, grid array<struct<slot:bigint,v:double,state:tinyint>>",
         )
     )
-    state = F.element_at(F.array(F.lit("observed"), F.lit("no_value"), F.lit("filled"), F.lit("no_value_unconverged"), F.lit("unconverged")), F.col("g.state") + 1)
+    state = F.get(F.array(*map(F.lit, STATES)), F.col("g.state").cast("int"))
     return filled.withColumn("g", F.explode("grid")).select(
         *CHANNEL,
         "utc_day",
@@ -257,7 +263,7 @@ def regular(
 def missing_slots(grid: DataFrame) -> DataFrame:
     """(host, plugin_name, utc_day, slot_start) without a reading in any channel of their source."""
     return (
-        grid.filter(F.col("state").isin("filled", "unconverged"))
+        grid.filter(F.col("state").isin(*STATES[2::2]))
         .groupBy(*SOURCE, "utc_day", "slot_start")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("channels").alias("_all"))
         .filter(F.col("_n") == F.col("_all"))

@@ -42,25 +42,26 @@ def collectd_records(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def netflow_records(spark: SparkSession, d: str, once: bool = True) -> DataFrame:
-    """One record per flow of a message (``once``: copies of a message and
-    repeated rows count once), received with the message's first copy."""
+def netflow_records(spark: SparkSession, d: str) -> DataFrame:
+    """One record per flow of a message (copies of a message and repeated rows
+    count once), received with the message's first copy."""
     m = table(spark, d, "nf_msg")
     same = m.filter(F.col("source").isNotNull()).groupBy(*MESSAGE).agg(F.min("recv_time").alias("received"))
     keys = ["source", F.coalesce("engine_id", F.lit(-1)).alias("_e"), F.coalesce("seqnum", F.lit(-1)).alias("_q"), F.coalesce("ts_sec", F.lit(-1)).alias("_s"), F.coalesce("ts_nsec", F.lit(-1)).alias("_n")]
     got = same.select(*keys, "received")
     usable = usable_messages(m.filter(F.col("source").isNotNull()), *keys).join(got, ["source", "_e", "_q", "_s", "_n"])
     flows = table(spark, d, "nf_flow").filter(F.col("last").isNotNull())
-    content = [F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in FLOW_CONTENT]).alias("_c")] if once else []
-    f = with_message(flows.select("msg_id", "last", "bytes", *content), usable)
-    if once:
-        f = f.groupBy("source", "_e", "_q", "_s", "_n", "_c", "last", "boot_ms", "sys_uptime").agg(
-            F.min("received").alias("received"), F.max("bytes").alias("bytes")
-        )
+    content = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in FLOW_CONTENT]).alias("_c")
+    # What makes copies equal travels as one hash, and the rest of a record is the same for all of them.
+    one = F.xxhash64("_e", "_q", "_s", "_n", "_c", "last", "boot_ms", "sys_uptime").alias("_copy")
+    f = with_message(flows.select("msg_id", "last", "bytes", content), usable).select(
+        "source", one, F.xxhash64("_c", "source", "_q").alias("_copy2"), epoch_ms("last").alias("at"), "received", "bytes"
+    )
+    f = f.groupBy("source", "_copy", "_copy2", "at").agg(F.min("received").alias("received"), F.max("bytes").alias("bytes"))
     return f.select(
         F.lit("netflow").alias("stream"),
         F.col("source").alias("entity"),
-        (epoch_ms("last") / 1000).alias("event_time"),
+        (F.col("at") / 1000).alias("event_time"),
         "received",
         F.col("bytes").cast("decimal(38,6)").alias("value"),
     )
@@ -71,10 +72,9 @@ STREAM = ["stream", "entity"]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Periods whose published result must be corrected.  Copies of a flow change
-    no period's being a case, so they needn't be removed here."""
-    records = collectd_records(spark, d).unionByName(netflow_records(spark, d, once=False))
-    return panes.windows(records, STREAM, SPEC).filter(F.col("late_n") > 0).select("stream", "entity", "period_start")
+    """Periods whose published result must be corrected."""
+    w = panes.windows(_all_records(spark, d), STREAM, SPEC)
+    return w.filter(F.col("late_n") > 0).select("stream", "entity", "period_start")
 
 
 def _all_records(spark: SparkSession, d: str) -> DataFrame:
@@ -162,6 +162,14 @@ def p6_grid(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d, False)
 
 
+def p6_slots(spark: SparkSession, d: str) -> DataFrame:
+    """What readings alone say of the grid: every slot of every channel, with its mean
+    where it has a value, and whether there was a reading."""
+    g = _grid(spark, d, False)
+    kind = F.when(F.col("state") == "observed", "observed").when(F.col("state").startswith("no_value"), "no_value").otherwise("missing")
+    return g.select(*grid.CHANNEL, "utc_day", "slot_start", kind.alias("kind"), F.when(F.col("state") == "observed", F.col("value")).alias("value"))
+
+
 # -- 7: wide tables ---------------------------------------------------------------
 
 
@@ -200,7 +208,7 @@ def p7_wide(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_windows, p1_revisions, p1_hourly, p4_found, p4_flags, p5_found, p5_periods, p6_found, p6_grid, p7_found, p7_wide,
+        p1_found, p1_windows, p1_revisions, p1_hourly, p4_found, p4_flags, p5_found, p5_periods, p6_found, p6_grid, p6_slots, p7_found, p7_wide,
     )
 }
 
@@ -285,6 +293,18 @@ UNION SELECT metric_id FROM rl JOIN vary ON rl.host = vary.host AND rl.plugin_na
  CAST(floor("time" / 86400) AS BIGINT) AS d, CAST(floor("time" / step_s) AS BIGINT) AS slot FROM r JOIN host_info USING (host)),
  g AS (SELECT *, lead(slot) OVER (PARTITION BY host, plugin_name, d ORDER BY slot) AS nxt FROM s)
  SELECT host, plugin_name, unnest(range(slot + 1, nxt)) * step_s AS slot_start FROM g WHERE nxt > slot + 1""",
+    "p6_slots": f"""WITH {_READINGS}, x AS (SELECT host, plugin_name, plugin_instance, type_name, attribute, "time", step_s,
+ unnest("values") AS v, unnest(range(len("values"))) AS pos FROM r JOIN host_info USING (host) WHERE step_s > 0),
+ c AS (SELECT host, plugin_name, plugin_instance, type_name, attribute, pos, step_s, CAST(floor("time" / 86400) AS BIGINT) AS utc_day,
+ CAST(floor("time" / step_s) AS BIGINT) AS slot, avg(v) FILTER (WHERE isfinite(v)) AS v FROM x GROUP BY ALL),
+ e AS (SELECT host, plugin_name, utc_day, min(slot) AS lo, max(slot) AS hi FROM c GROUP BY ALL),
+ ch AS (SELECT DISTINCT host, plugin_name, plugin_instance, type_name, attribute, pos, step_s, utc_day FROM c),
+ s AS (SELECT ch.*, unnest(range(lo, hi + 1)) AS slot FROM ch JOIN e USING (host, plugin_name, utc_day))
+ SELECT s.host, s.plugin_name, s.plugin_instance, s.type_name, s.attribute, s.pos, s.utc_day, s.slot * s.step_s AS slot_start,
+ CASE WHEN c.slot IS NULL THEN 'missing' WHEN c.v IS NULL THEN 'no_value' ELSE 'observed' END AS kind, c.v AS value
+ FROM s LEFT JOIN c ON s.host = c.host AND s.plugin_name = c.plugin_name AND s.plugin_instance IS NOT DISTINCT FROM c.plugin_instance
+ AND s.type_name IS NOT DISTINCT FROM c.type_name AND s.attribute IS NOT DISTINCT FROM c.attribute AND s.pos = c.pos
+ AND s.utc_day = c.utc_day AND s.slot = c.slot""",
     "p7_found": f"""WITH {_READINGS} SELECT host, CAST(round("time" * 1000) AS BIGINT) AS time_ms, attribute FROM r
  WHERE plugin_name = 'memory' AND isfinite("values"[1]) AND attribute IS NOT NULL
  GROUP BY ALL HAVING count(DISTINCT "values"[1]) > 1""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
@@ -31,7 +34,9 @@ def durable(df: DataFrame) -> DataFrame:
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only
     where that is unset and the master is local (tests) a temporary one is
-    taken; on a cluster without a shared folder the lineage is kept whole.
+    taken, and removed at exit; on a cluster without a shared folder the lineage is
+    kept whole.  Spark removes checkpoints that nothing refers to any more where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as it is here.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -39,6 +44,7 @@ def durable(df: DataFrame) -> DataFrame:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if shared is None and sc.master.startswith("local["):
             shared = tempfile.mkdtemp(prefix="tidegauge-ckpt-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
         if shared is None:
             return df
         sc.setCheckpointDir(shared)

@@ -1,5 +1,10 @@
 """Streams run to completion give what the batch plans give."""
 
+import os
+import random
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tidegauge.operators import panes
@@ -45,22 +50,68 @@ def test_tumbling_watermark(spark, source, tmp_path):
     assert got and all(whole[k] == v for k, v in got.items())
 
 
-def test_panes(spark, tmp_path):
-    spec = panes.Slicing(size=600, slide=300, delay=30, cutoff=900, tick=30)
-    rows = [("x", float(e), float(r), 1.0) for e, r in [(10, 12), (320, 330), (20, 700), (40, 1000), (650, 5000), (30, 5001)]]
-    df = spark.createDataFrame(rows, "k string, event_time double, received double, value double")
-    df.coalesce(1).write.parquet(str(tmp_path / "p"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "p"))
-    got = run(revisions_stream(stream, ["k"], spec), tmp_path, "m4")
-    final = {}
-    for r in sorted(got, key=lambda r: r.revision):
-        final[r.period_start] = r.n
-    batch = {r.period_start: r.final_n for r in panes.windows(df, ["k"], spec).collect()}
-    assert final and all(batch[w] == n for w, n in final.items())
+SLIDING = panes.Slicing(size=900, slide=300, delay=30, cutoff=930, tick=30)
+
 
+def arrivals(spec, n=300, seed=1):
+    """Records of two busy keys and one that falls silent, in the order of receipt."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        got = 86_400 + 20.0 * i
+        late = r.choice([0, 0, 1, 5, 40, 400, 800, 1200, 3000])
+        rows.append(("ab"[i % 2], got - late, got, r.choice([None, 1.0, 2.5])))
+        if i < 40:
+            rows.append(("silent", got - late / 2, got, 1.0))
+    # The clock of the stream, and of the busy keys, passes every cut-off.
+    end = 86_400 + 20.0 * n + spec.size + spec.cutoff + 1000
+    return rows + [(k, end, end + 1, None) for k in "ab"] + [("clock", end, end + 10_000, None)]
 
-def test_pane_state_ignores_what_is_too_late():
+
+def batch_of(spark, rows, spec):
+    """What the batch publishes, but for the windows that only the last records open."""
+    df = spark.createDataFrame(rows, "k string, event_time double, received double, value double")
+    last = max(r[1] for r in rows)
+    want = panes.revisions(df, ["k"], spec).collect()
+    return df, sorted((r.k, r.period_start, r.revision, r.published_at, r.n, r.total) for r in want if r.period_start + spec.size <= last - spec.size)
+
+
+@pytest.mark.parametrize("spec", [panes.Slicing(), SLIDING, panes.Slicing(size=600, slide=300, delay=0, cutoff=60, tick=60)])
+def test_pane_states_publish_what_the_batch_does(spark, spec):
+    rows = arrivals(spec)
+    _, want = batch_of(spark, rows, spec)
+    states, got = {}, []
+    for k, event, received, value in rows:
+        got += [(k, *w) for w in states.setdefault(k, PaneState(spec)).add(event, received, value)]
+    for k, s in states.items():
+        got += [(k, *w) for w in s.advance(rows[-1][2])]
+    last = max(r[1] for r in rows)
+    got = sorted(r for r in got if r[1] + spec.size <= last - spec.size)
+    assert got == want and len(got) == len({r[:3] for r in got}) and len(want) > 40
+
+
+def test_panes_on_a_stream_every_revision(spark, tmp_path):
+    """Several micro-batches, sliding windows, a key that falls silent and is then forgotten."""
+    rows = arrivals(SLIDING)
+    df, want = batch_of(spark, rows, SLIDING)
+    (tmp_path / "p").mkdir()
+    for k in range(0, len(rows), 60):
+        # Files are read in the order of their times.
+        f = tmp_path / "p" / f"{k:05}.parquet"
+        pq.write_table(pa.table(dict(zip(df.columns, map(list, zip(*rows[k : k + 60]))))), f)
+        os.utime(f, (1e9 + k, 1e9 + k))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "p"))
+    q = revisions_stream(stream, ["k"], SLIDING, disorder=100.0)
+    got = run(q, tmp_path, "panes_every")
+    last = max(r[1] for r in rows)
+    got = sorted((r.k, r.period_start, r.revision, r.published_at, r.n, r.total) for r in got if r.period_start + SLIDING.size <= last - SLIDING.size)
+    assert [r for r in got if r[0] == "silent"] and got == want
+
+
+def test_pane_state_ignores_what_is_too_late_and_forgets():
     s = PaneState(panes.Slicing())
     assert list(s.add(10.0, 11.0, 1.0)) == []
-    assert list(s.add(20.0, 331.0, 1.0)) == [(0, 0, 1, 1.0), (0, 1, 2, 2.0)]
-    assert list(s.add(30.0, 3901.0, 1.0)) == []
+    assert list(s.add(20.0, 331.0, None)) == [(0, 0, 330, 1, 1.0)]
+    assert list(s.add(30.0, 3901.0, 1.0)) == [(0, 1, 360, 2, 1.0)]
+    assert list(s.advance(1e9)) == [] and s.next_due() is None and not s.panes and not s.revision
+    assert list(s.add(40.0, 5.0, 1.0)) == [] and not s.panes

@@ -180,3 +180,13 @@ def test_commits_across_groups(spark):
     assert [tuple(r) for r in got] == [("a", 3), ("b", 7), ("a", 5)]
     got = e.query("FROM t SELECT k, SUM v AS s, previous.s AS was GROUP BY k COMMIT AND KEEP AFTER true").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [("a", 1, None), ("a", 3, 1), ("b", 3, None), ("b", 7, 3), ("a", 8, 3), ("c", 6, None)]))
+
+
+def test_hash_is_one_function(spark):
+    """On a map plan and in the machine, for every kind of value."""
+    values = spark.createDataFrame([(1, "a", -5, 2.5, True, [1, 2], "é" * 40), (2, None, 1 << 40, -0.0, False, [], "")], "n int, s string, big long, f double, b boolean, v array<int>, w string")
+    fields = ", ".join(f"HASH {c} AS h_{c}" for c in values.columns)
+    e = Engine(spark).table("t", values, ["n"])
+    column = e.query(f"FROM t SELECT n, {fields}").collect()
+    machine = e.query(f"FROM t SELECT n, {fields}, n + (previous.x |? 0) AS x").collect()
+    assert [tuple(r)[:8] for r in sorted(column)] == [tuple(r)[:8] for r in sorted(machine)] and len({r.h_big for r in column}) == 2

@@ -49,6 +49,18 @@ def test_pivot(spark):
     assert (rows[1].user, rows[1].count_cpu) == (None, 0)
 
 
+def test_pivot_tops(spark):
+    rows = [(1.0, "h", "disk", v, w) for v, w in [("a", 1), ("b", 5), ("a", 1), ("c", 1), ("c", 2), ("a", 1), (None, 9)]]
+    rows += [(70.0, None, "disk", "z", None), (5.0, "h", "net", "q", 1), (130.0, "h", "net", "q", 1)]
+    df = spark.createDataFrame(rows, "start double, host string, kind string, v string, w int")
+    spec = {"keys": ["host"], "duration": 60, "type": "kind", "value": "v", "fields": [
+        {"name": "disk", "pattern": "disk", "aggregates": [{"top": 2}]}, {"name": "heavy", "pattern": "disk", "aggregates": ["count", {"top": 2, "by": "w"}]}]}
+    got = {(r.host, r.start): (r.disk, r.top_heavy, r.count_heavy) for r in pivot.pivot(df, spec).collect()}
+    assert got == {("h", 0): (["a", "c"], ["b", "a"], 6), (None, 60): (["z"], ["z"], 1), ("h", 120): (None, None, 0)}
+    only = {"keys": [], "duration": 60, "type": "kind", "value": "v", "fields": [{"name": "t", "pattern": "net", "aggregates": [{"top": 1}]}]}
+    assert {r.start: r.t for r in pivot.pivot(df, only).collect()} == {0: ["q"], 60: None, 120: ["q"]}
+
+
 def test_alert(spark):
     values = [1, 1, 9, 9, 6, 6, 1, 1]
     df = spark.createDataFrame([(float(i), "a", float(v)) for i, v in enumerate(values)], "start double, k string, v double")

@@ -5,6 +5,7 @@ import struct
 import pytest
 
 from tidegauge.lang.parser import parse_type
+from tidegauge.lang.tree import LanguageError
 from tidegauge.plans.planner import Engine
 from tidegauge.series.archive import Archive, replay
 from tidegauge.sources import external, protocols
@@ -24,6 +25,41 @@ def test_csv_null_and_no_quotes(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == [('"q"', 3), ("a", None)]
 
 
+def test_csv_vectors(spark, tmp_path):
+    """Quoted elements may hold separators; ClickHouse syntax, and vectors of characters as strings (an empty field is null)."""
+    (tmp_path / "v.csv").write_text("['a, b', 'it\\'s', \"c\"]\t[1, 2,x]\tabc\n[]\t[]\t\n\\N\t[7]\t[d]\n")
+    q = 'READ FILE "{}/v.csv" AS CSV SEPARATOR "\\t" NULL "\\\\N" NO QUOTES ESCAPE WITH "^" {} (s string[]?, n i32?[]?, c char[]?)'
+    rows = Engine(spark).query("FROM (" + q.format(tmp_path, "VECTORS OF CHARS AS STRING CLICKHOUSE SYNTAX") + ") SELECT *").collect()
+    assert [(r.s, r.n, r.c) for r in rows] == [(["a, b", "it's", '"c"'], [1, 2, None], ["a", "b", "c"]), ([], [], None), (None, [7], ["[", "d", "]"])]
+    (tmp_path / "w.csv").write_text("[\"a;b\"; c d;'e'; f's]\t[1;2]\n")
+    rows = Engine(spark).query(f'FROM (READ FILE "{tmp_path}/w.csv" AS CSV SEPARATOR "\\t" NO QUOTES (s string[], n i32[])) SELECT *').collect()
+    assert [(r.s, r.n) for r in rows] == [(["a;b", "c d", "e", "f's"], [1, 2])]
+
+
+def test_files_are_watched(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("1\n2\n")
+    op = f'FROM (READ FROM FILES "{tmp_path}/in" THEN DELETE AS CSV (n i32)) SELECT n * 2 AS m'
+    with pytest.raises(LanguageError):
+        Engine(spark).query(op)
+    df = Engine(spark, watch=True).query(op)
+    assert df.isStreaming
+    q = df.writeStream.format("memory").queryName("watched").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r.m for r in spark.table("watched").collect()) == [2, 4]
+
+
+def test_on_site(spark):
+    df = spark.createDataFrame([(1, "paris"), (2, "perth"), (3, "lyon"), (4, None)], "n int, site string")
+    e = Engine(spark, site="lyon").table("t", df, ["n"])
+    ids = lambda op: sorted(r.n for r in e.query(op).collect())
+    assert ids('FROM t ON SITE "p*" SELECT n') == [1, 2] and ids("FROM t ON THIS SITE SELECT n") == [3] and ids("FROM t SELECT n") == [1, 2, 3, 4]
+    with pytest.raises(LanguageError):
+        Engine(spark).table("t", df, ["n"]).query("FROM t ON THIS SITE SELECT n")
+    with pytest.raises(LanguageError):
+        Engine(spark, site="x").table("t", df.drop("site"), ["n"]).query('FROM t ON SITE "x" SELECT n')
+
+
 def test_rowbinary_round_trip(spark, tmp_path):
     head = "columns format version: 1\n5 columns:\n`a` UInt32\n`b` Nullable(String)\n`c` Array(String)\n`d` Nullable(FixedString(16))\n`e` Float64"
     kinds = [k for _, _, k in external.names_and_types(head)]

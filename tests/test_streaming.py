@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from tidegauge.lang.tree import LanguageError
 from tidegauge.operators import panes
 from tidegauge.plans.planner import Engine
 from tidegauge.streaming.panes import PaneState, revisions_stream
@@ -41,6 +42,37 @@ def test_machine(spark, source, tmp_path):
     assert sorted(got) == sorted(Engine(spark).table("t", df, ["id"]).query(op).collect())
 
 
+def test_sort_buffer_is_kept_between_batches(spark, source, tmp_path):
+    df, _ = source
+    for k in range(0, 60, 15):
+        f = tmp_path / "sorted" / f"{k:05}.parquet"
+        f.parent.mkdir(exist_ok=True)
+        pq.write_table(pa.table(dict(zip(df.columns, map(list, zip(*sorted(map(tuple, df.collect()))[k : k + 15]))))), f)
+        os.utime(f, (1e9 + k, 1e9 + k))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "sorted"))
+    for n, op in enumerate(["FROM t SORT LAST 8 BY start SELECT id, start", "FROM t SORT LAST 30 OR UNTIL sort_greatest.start > sort_smallest.start + 200 BY start SELECT id, LAG start AS l"]):
+        got = run(Engine(spark).table("t", stream, ["id"]).query(op), tmp_path, f"sorted{n}")
+        want = Engine(spark).table("t", df, ["id"]).query(op).collect()
+        assert got == want and 0 < len(want) < 60
+
+
+def test_lateness_follows_from_the_condition(spark, source):
+    _, stream = source
+    e = Engine(spark).table("t", stream, ["id"])
+    for bound, late in [("(out.w + 2) * 10", 10.0), ("out.w * 10 + 25", 15.0), ("10 * (out.w + 1)", 0.0), ("out.first + 1.5 * 10", 5.0)]:
+        plan = e.query(f"FROM t SELECT MIN start AS first, start // 10 AS w, COUNT id AS n GROUP BY start // 10 COMMIT AFTER in.start > {bound}")
+        text = plan._jdf.queryExecution().analyzed().toString()
+        assert f"{int(late)} seconds" in text or late == 0 and "0 seconds" in text, (bound, text)
+    with pytest.raises(LanguageError):
+        e.query("FROM t SELECT start // 10 AS w, COUNT id AS n GROUP BY start // 10 COMMIT AFTER in.start > out.w * out.w")
+
+
+def test_split_with_state_is_refused(spark, source):
+    _, stream = source
+    with pytest.raises(LanguageError):
+        Engine(spark).table("t", stream, ["id"]).query('FROM t SELECT SPLIT(" ", k) AS x, SUM v AS s GROUP BY k KEEP')
+
+
 def test_tumbling_watermark(spark, source, tmp_path):
     df, stream = source
     op = "FROM t SELECT k, start // 100 AS w, SUM v AS s, COUNT id AS n GROUP BY k, start // 100 COMMIT AFTER in.start > out.w * 100 + 200"

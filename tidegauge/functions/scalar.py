@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import time
-import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -19,6 +19,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from tidegauge.lang.tree import E, LanguageError
 from tidegauge.lang.types import (
@@ -255,7 +256,40 @@ fn("pi", FLOAT, lambda e: math.pi, lambda e: F.lit(math.pi))
 fn("random", FLOAT, None, lambda e: F.rand())
 fn("now", FLOAT, lambda e: time.time(), lambda e: F.unix_micros(F.current_timestamp()) / 1e6)
 fn("age", FLOAT, lambda e, a: time.time() - a, lambda e, a: F.unix_micros(F.current_timestamp()) / 1e6 - a)
-fn("hash", T("i64"), lambda e, a: zlib.crc32(repr(a).encode()), lambda e, a: F.when(a.isNotNull(), F.xxhash64(a)))
+
+
+def xxhash(v: Any, t: T, seed: int = 42) -> int:
+    """The 64-bit hash that Spark's ``xxhash64`` gives a value of the type's column."""
+    import xxhash as xx
+
+    d = spark_type(t)
+    if v is None:
+        return seed
+    if is_arr(t):
+        for x in v:
+            seed = xxhash(x, t.args[0], seed)
+        return seed
+    if t.kind in ("tup", "rec"):
+        kinds = t.args if t.kind == "tup" else [x for _, x in t.args]
+        for x, k in zip(v if t.kind == "tup" else [v[n] for n, _ in t.args], kinds):
+            seed = xxhash(x, k, seed)
+        return seed
+    if isinstance(d, S.BooleanType | S.ShortType | S.IntegerType):
+        data = struct.pack("<i", int(v))
+    elif isinstance(d, S.LongType):
+        data = struct.pack("<q", int(v))
+    elif isinstance(d, S.DoubleType):
+        data = struct.pack("<d", v + 0.0 if v == v else math.nan)
+    elif isinstance(d, S.DecimalType):
+        n = int(v)
+        data = n.to_bytes((n + (n < 0)).bit_length() // 8 + 1, "big", signed=True)
+    else:
+        data = v.encode() if isinstance(v, str) else bytes(v)
+    h = xx.xxh64_intdigest(data, seed & (1 << 64) - 1)
+    return h - (h >> 63 << 64)
+
+
+fn("hash", T("i64"), lambda e, a: xxhash(a, e.args[0].t), lambda e, a: F.when(a.isNotNull(), F.xxhash64(a)))
 
 
 # -- bits

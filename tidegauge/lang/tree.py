@@ -57,6 +57,12 @@ class EventTime:
     duration: E | None = None
 
 
+class Sited(str):
+    """The name of a parent taken from some sites only: a glob, or "" for this site."""
+
+    site: str
+
+
 @dataclass
 class Aggregate:
     fields: list[Field]

@@ -15,6 +15,7 @@ anew.  A condition that mentions the input is also tried on all other groups.
 from __future__ import annotations
 
 import pickle
+from bisect import insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -164,6 +165,7 @@ class Machine:
             g = Group()
         c = self.context(row, key)
         if stateful_where and self.where.update(c, g.states, self.everywhere) is not True:
+            # What the filter itself remembers of a key must outlive its rejections.
             if not fresh or any(n.at["life"] == "local" for n in self.where.nodes):
                 self.groups[key] = g
             return
@@ -219,20 +221,37 @@ class Machine:
         self.groups.clear()
 
 
+class SortBuffer:
+    """The last n rows, in order: gives out the smallest once full, or while UNTIL
+    holds; what is left at the end stays in it."""
+
+    def __init__(self, n: int, until: E | None, by: list[E]) -> None:
+        self.n = n
+        self.keys = [compiled(b) for b in by]
+        self.stop = compiled(until) if until is not None else None
+        self.rows: list[tuple] = []
+        self.count = 0
+
+    def full(self, row: dict) -> bool:
+        if len(self.rows) >= self.n or not self.rows or self.stop is None:
+            return len(self.rows) >= self.n
+        ends = {"sort_first": min(self.rows, key=lambda x: x[1])[2], "sort_smallest": self.rows[0][2], "sort_greatest": self.rows[-1][2]}
+        return self.stop(Ctx(row, sorted=ends)) is True
+
+    def push(self, row: dict) -> Iterator[dict]:
+        self.count += 1
+        insort(self.rows, (tuple(k(Ctx(row)) for k in self.keys), self.count, row), key=lambda x: x[:2])
+        while self.full(row):
+            yield self.rows.pop(0)[2]
+
+    def dump(self) -> tuple:
+        return self.rows, self.count
+
+    def load(self, kept: tuple) -> None:
+        self.rows, self.count = kept
+
+
 def sorting(rows: Iterator[dict], n: int, until: E | None, by: list[E]) -> Iterator[dict]:
-    """A sliding buffer of n rows that gives out the smallest once full, or while
-    UNTIL holds; what is left at the end stays in it."""
-    from bisect import insort
-
-    keys = [compiled(b) for b in by]
-    stop = compiled(until) if until is not None else None
-    buffer: list[tuple] = []
-    count = 0
+    buffer = SortBuffer(n, until, by)
     for row in rows:
-        c = Ctx(row)
-        count += 1
-        insort(buffer, (tuple(k(c) for k in keys), count, row), key=lambda x: x[:2])
-        while len(buffer) >= n or buffer and stop is not None and stop(
-            Ctx(row, sorted={"sort_first": min(buffer, key=lambda x: x[1])[2], "sort_smallest": buffer[0][2], "sort_greatest": buffer[-1][2]})
-        ) is True:
-            yield buffer.pop(0)[2]
+        yield from buffer.push(row)

@@ -16,6 +16,7 @@ struct column carries them as far as an operation downstream needs them.
 
 from __future__ import annotations
 
+import fnmatch
 from collections.abc import Iterator
 from typing import Any
 
@@ -26,7 +27,7 @@ from pyspark.sql import types as S
 from tidegauge.functions import scalar, stateful
 from tidegauge.functions.stateful import Win
 from tidegauge.lang.parser import parse
-from tidegauge.lang.tree import Aggregate, E, Field, Function, LanguageError, Listen, Program, Read
+from tidegauge.lang.tree import Aggregate, E, Field, Function, LanguageError, Listen, Program, Read, Sited
 from tidegauge.lang.types import T, is_arr, is_int, of_spark, spark_type
 from tidegauge.plans.commit import Clause, Ctx, Machine, sorting
 from tidegauge.plans.resolve import Resolved, Resolver, mentions, states_of
@@ -182,11 +183,13 @@ class Engine:
 
     ``order`` of a table names the columns of its order of arrival (with a
     unique tie-break); ``flush_at_end`` also emits groups that no condition has
-    committed when a batch ends, where a stream would wait for more input.
+    committed when a batch ends, where a stream would wait for more input.  A table's
+    column ``site`` tells where its rows come from; ``site`` is the engine's own.
+    With ``watch`` READ FROM FILES is a stream of the files as they come.
     """
 
-    def __init__(self, spark: SparkSession, flush_at_end: bool = True, generate: int = 100, lateness: float | None = None) -> None:
-        self.spark, self.flush_at_end, self.generate, self.lateness = spark, flush_at_end, generate, lateness
+    def __init__(self, spark: SparkSession, flush_at_end: bool = True, generate: int = 100, lateness: float | None = None, site: str | None = None, watch: bool = False) -> None:
+        self.spark, self.flush_at_end, self.generate, self.lateness, self.site, self.watch = spark, flush_at_end, generate, lateness, site, watch
         self.tables: dict[str, tuple[DataFrame, list[str], set[str]]] = {}
         self.plans: dict[str, str] = {}
         self.datagrams: dict[str, DataFrame] = {}
@@ -295,7 +298,7 @@ class Run:
         if isinstance(op, Read):
             from tidegauge.sources.external import read
 
-            return read(self.engine.spark, op, self)
+            return read(self.engine.spark, op, self, self.engine.watch)
         if isinstance(op, Listen):
             from tidegauge.sources.protocols import DECODERS, decoded
 
@@ -315,7 +318,7 @@ class Run:
         dfs, known = [], None
         for n, p in enumerate(op.parents):
             if isinstance(p, str):
-                dfs.append(self.function(p, ordered, chain))
+                dfs.append(self.at_site(self.function(str(p), ordered, chain), p))
                 k = self.nullable.get(p, set())
             else:
                 dfs.append(self.operation(Function(f"_{n}", p), ordered, chain))
@@ -335,6 +338,18 @@ class Run:
             df = df.unionByName(d.select(*common))
         return df, known
 
+    def at_site(self, df: DataFrame, p: str) -> DataFrame:
+        """ON SITE: the rows of a parent whose site fits."""
+        if not isinstance(p, Sited):
+            return df
+        if "site" not in df.columns:
+            raise LanguageError(f"{p} ON SITE: {p} has no column site")
+        if p.site:
+            return df.filter(F.col("site").rlike(f"^{fnmatch.translate(p.site)}$"))
+        if self.engine.site is None:
+            raise LanguageError("ON THIS SITE: name the site with Engine(site=...)")
+        return df.filter(F.col("site") == self.engine.site)
+
     # -- plans
     def aggregate(self, op: Aggregate, ordered: bool, chain: tuple[str, ...], name: str) -> DataFrame:
         df, known = self.parents(op, False, chain)
@@ -568,10 +583,8 @@ class Run:
         w = Win(keys, [F.col(ORD)])
         df = df.withColumn("__block", F.floor((F.row_number().over(w.ordered) - 1) / n))
         size = F.count(F.lit(1)).over(w.by(F.col("__block")))
-        if not self.engine.flush_at_end:
-            df = df.withColumn("__size", size).filter(F.col("__size") == n)
-        else:
-            df = df.withColumn("__size", size).filter(F.col("__size") == n)
+        # A block is committed by its n-th input, whether or not the batch flushes at its end.
+        df = df.withColumn("__size", size).filter(F.col("__size") == n)
         blocked = Resolved(r.fields, None, [*r.keys, E("in", [], {"name": "__block"}, T("i64"))], None, False, True, None, [], r.start, r.factors, r.docs)
         return self.fold(blocked, df, cs, [*keys, F.col("__block")], ordered)
 

@@ -41,7 +41,12 @@ def raw_schema(columns: list[tuple[str, T]]) -> S.StructType:
     return S.StructType([S.StructField(n, kind(t)) for n, t in columns])
 
 
-def parse_text(c: Column, t: T) -> Column:
+#: Elements of a vector: quoted ones may hold separators and escaped quotes.
+_ELEMENTS = r"""\s*(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^;,"'\s][^;,]*)"""
+_CLICKHOUSE = r"""\s*(?:'(?:[^'\\]|\\.)*'|[^,'\s][^,]*)"""
+
+
+def parse_text(c: Column, t: T, options: dict[str, Any] = {}) -> Column:
     from tidegauge.lang.tree import E
     from tidegauge.plans.planner import udf
 
@@ -51,19 +56,26 @@ def parse_text(c: Column, t: T) -> Column:
     if is_int(t):
         return F.trim(c).try_cast(spark_type(t))
     if is_arr(t):
+        if t.args[0].kind == "char" and options.get("chars") == "string":
+            return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(c, ""))
+        pattern = _CLICKHOUSE if options.get("clickhouse") else _ELEMENTS
         inner = F.regexp_replace(F.trim(c), r"^\[|\]$", "")
-        items = F.filter(F.split(inner, r"[;,]"), lambda x: F.length(F.trim(x)) > 0)
-        return F.transform(items, lambda x: F.regexp_replace(F.trim(x), "^['\"]|['\"]$", "")).cast(spark_type(t)) if t.args[0].kind == "string" else F.transform(items, lambda x: F.trim(x).try_cast(spark_type(t.args[0])))
+        items = F.transform(F.regexp_extract_all(inner, F.lit(pattern), 0), lambda x: F.trim(x))
+        bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"""^(['"])(.*)\1$""", "$2"), r"\\(.)", "$1")
+        if t.args[0].kind in ("string", "char"):
+            quote = "^'" if options.get("clickhouse") else "^['\"]"
+            return F.transform(items, lambda x: F.when(x.rlike(quote), bare(x)).otherwise(x))
+        return F.transform(items, lambda x: x.try_cast(spark_type(t.args[0])))
     text = E("in", [], {"name": "_"}, T("string"))
     return udf(E("cast", [text], {"to": t.nullable()}, t.nullable()), [c])
 
 
-def typed(df: DataFrame, columns: list[tuple[str, T]]) -> DataFrame:
+def typed(df: DataFrame, columns: list[tuple[str, T]], options: dict[str, Any] = {}) -> DataFrame:
     raw = {f.name: f.dataType for f in raw_schema(columns)}
     out = []
     for n, t in columns:
         c = F.col(f"`{n}`")
-        c = c if raw[n] == spark_type(t) else parse_text(c, t)
+        c = c if raw[n] == spark_type(t) else parse_text(c, t, options)
         out.append(c.alias(n, metadata={"lang_type": str(t)} if t.kind != "map" else {}))
     return df.select(*out)
 
@@ -73,7 +85,7 @@ def read_csv(spark: SparkSession, path: str, columns: list[tuple[str, T]], optio
     if stream and options.get("delete") is not None:
         reader = reader.option("cleanSource", "delete")
     df = reader.schema(raw_schema(columns)).options(**csv_options(options)).csv(path)
-    return typed(df, columns)
+    return typed(df, columns, options)
 
 
 # -- RowBinary --------------------------------------------------------------------
@@ -221,6 +233,8 @@ def read(spark: SparkSession, op: Read, run: Any, stream: bool = False) -> DataF
     if op.fmt == "rowbinary":
         columns = names_and_types(o["names_and_types"])
         return rowbinary_rows(spark.read.format("binaryFile").load(where), columns)
+    if o.get("delete") and not stream:
+        raise LanguageError("THEN DELETE needs a stream: Engine(watch=True) reads files as they come")
     columns = op.columns or [(n, t) for n, t, _ in names_and_types(o["names_and_types"])]
     return read_csv(spark, where, columns, o, stream)
 
@@ -250,7 +264,7 @@ def decode_messages(messages: DataFrame, op: Read) -> DataFrame:
     o = csv_options(op.options)
     o.pop("header"), o.update(mode="PERMISSIVE")
     parsed = lines.select(F.from_csv("line", raw_schema(op.columns).simpleString()[7:-1].replace(":", " "), o).alias("r")).select("r.*")
-    return typed(parsed, op.columns)
+    return typed(parsed, op.columns, op.options)
 
 
 # -- sinks -------------------------------------------------------------------------

@@ -24,6 +24,8 @@ def constant(e: E) -> float | None:
         a, b = (constant(x) for x in e.args)
         if a is not None and b is not None:
             return a + b if e.op == "add" else a * b
+    if e.op == "cast":
+        return constant(e.args[0])
     return None
 
 
@@ -35,14 +37,29 @@ def bucket(r: Resolved) -> tuple[E, float]:
     raise LanguageError("a stream needs a key start // size or TRUNCATE(start, size)")
 
 
+def at_output(e: E, value: float) -> float | None:
+    """The value of an expression of constants and one field of the output."""
+    if e.op == "out":
+        return value
+    if e.op in ("add", "sub", "mul", "div", "neg"):
+        x = [at_output(a, value) for a in e.args]
+        if None in x:
+            return None
+        return {"add": lambda: x[0] + x[1], "sub": lambda: x[0] - x[1], "mul": lambda: x[0] * x[1], "div": lambda: x[0] / x[1] if x[1] else None, "neg": lambda: -x[0]}[e.op]()
+    return constant(e)
+
+
 def lateness_of(r: Resolved, size: float) -> float:
-    """For in.t > out.start + c: what c waits beyond a whole window."""
+    """For in.t > f(out.x): what f waits beyond the end of the window of the least x.
+
+    x is the window's number (f has the window's size as its slope) or a time in it
+    (a slope of 1); the first window ends at ``size`` in both cases."""
     bound = r.commit.args[1]
-    if bound.op == "add":
-        c = next((constant(x) for x in bound.args if constant(x) is not None), None)
-        if c is not None:
-            return max(0.0, c - size)
-    return 0.0
+    if len({x.at["name"] for x in bound.walk() if x.op == "out"}) == 1:
+        low, high, next_ = (at_output(bound, x) for x in (0.0, 1.0, 2.0))
+        if None not in (low, high, next_) and abs(next_ - 2 * high + low) < 1e-9 * max(1.0, size) and (abs(high - low - 1) < 1e-9 or abs(high - low - size) < 1e-6 * size):
+            return max(0.0, low - size)
+    raise LanguageError("how late inputs may be does not follow from the COMMIT condition: name it with Engine(lateness=...)")
 
 
 def watermarked(r: Resolved, df: DataFrame, cs: Any, lateness: float | None) -> tuple[DataFrame, list[Column]]:

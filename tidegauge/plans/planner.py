@@ -1,12 +1,14 @@
 """From programs to DataFrames.
 
-Each operation takes the cheapest of four plans:
+Each operation takes the cheapest of five plans:
 
 1. *map*: no state - a projection, a filter, and rows made by SPLIT;
 2. *running*: every input is output and each stateful function has a window form;
 3. *grouped*: the commit condition is a recognised pattern (tumbling windows
    closed by time, blocks of n inputs) and each function has an aggregate form;
-4. *machine*: anything else, the commit machine over sorted rows, one task per
+4. *chained*: without keys, looking back one input only - windows within blocks of the
+   order and a row a block carried over;
+5. *machine*: anything else, the commit machine over sorted rows, one task per
    hash partition of the keys; in one task only if the operation's state or its
    commits span keys.
 
@@ -29,6 +31,7 @@ from tidegauge.functions.stateful import Win
 from tidegauge.lang.parser import parse
 from tidegauge.lang.tree import Aggregate, E, Field, Function, LanguageError, Listen, Program, Read, Sited
 from tidegauge.lang.types import T, is_arr, is_int, of_spark, spark_type
+from tidegauge.plans import chained
 from tidegauge.plans.commit import Clause, Ctx, Machine, sorting
 from tidegauge.plans.resolve import Resolved, Resolver, mentions, states_of
 
@@ -357,20 +360,22 @@ class Run:
         r = Resolver(op, inputs, self.params, self.program.globals).run()
         kind = self.kind(op, r)
         self.engine.plans[name] = kind
-        if df.isStreaming and kind in ("running", "blocks"):
+        if df.isStreaming and kind in ("running", "blocks", "chained"):
             kind = self.engine.plans[name] = "machine"
-        needs = ordered or kind in ("running", "machine", "blocks") or kind == "grouped" and self.picks(r)
+        needs = ordered or kind in ("running", "machine", "blocks", "chained") or kind == "grouped" and self.picks(r)
         if needs and op.parents:
             df, _ = self.parents(op, True, chain)
         if not needs and ORD in df.columns:
             df = df.drop(ORD)
-        result = {"map": self.map, "running": self.running, "grouped": self.grouped, "blocks": self.blocks, "machine": self.machine}[kind](r, df, needs)
+        result = {"map": self.map, "running": self.running, "grouped": self.grouped, "blocks": self.blocks, "chained": self.chained, "machine": self.machine}[kind](r, df, needs)
         return self.finish(r, result, ordered)
 
     def kind(self, op: Aggregate, r: Resolved) -> str:
         states = [s for e in [*(e for _, e in r.fields), r.where, r.commit] for s in states_of(e)]
         select = [s for _, e in r.fields for s in states_of(e)]
         exprs = [e for e in [*(e for _, e in r.fields), r.where, r.commit] if e is not None]
+        if not r.sort and (chained.lagged(r) or chained.changing(r) or chained.islands(r) and all(self.aggregated(s, r) for s in select)):
+            return "chained"
         recursive = any(mentions(e, "previous", "global_last", "global", "mapadd") for e in exprs)
         trivial = r.commit is None or r.commit.op == "lit" and r.commit.at["v"] is True
         if recursive or r.sort or mentions(r.where, *[s.op for s in states if s.op == "s:top"]) and states:
@@ -588,6 +593,49 @@ class Run:
         blocked = Resolved(r.fields, None, [*r.keys, E("in", [], {"name": "__block"}, T("i64"))], None, False, True, None, [], r.start, r.factors, r.docs)
         return self.fold(blocked, df, cs, [*keys, F.col("__block")], ordered)
 
+    def chained(self, r: Resolved, df: DataFrame, ordered: bool) -> DataFrame:
+        """What looks one input back: see ``plans.chained``."""
+        cs = Columns({})
+        changed, run = chained.changing(r), chained.islands(r)
+        exprs = [*(e for _, e in r.fields), *([r.where] if r.where is not None else []), *r.keys, *([run] if run is not None else [])]
+        used = sorted({x.at["name"] for e in exprs for x in e.walk() if x.op == "in"})
+        if r.where is not None and not states_of(r.where):
+            df = df.filter(cs.col(r.where))
+        rows = df.select(*[F.col(f"`{c}`") for c in used], ORD)
+        if changed is not None and r.keys:
+            rows = self.project(r, rows, cs)
+            w = Win([cs.col(k) for k in r.keys], [F.col(ORD)])
+            return self.differing(rows, F.lag(cs.out[changed]).over(w.ordered), cs.out[changed])
+        cut = chained.blocks(rows, ORD)
+        if cut is None:
+            if changed is not None or run is not None:
+                return self.machine(r, rows, ordered)
+            return self.running(r, rows, ordered)
+        if changed is not None:
+            cut = self.project(r, cut, cs)
+            cut = chained.before(cut, ORD, F.col(cs.out[changed]), "__before")
+            return self.differing(cut, F.col("__before"), cs.out[changed])
+        if run is not None:
+            x = cs.col(run)
+            cut = chained.before(cut, ORD, x, "__before")
+            cut, most = chained.numbered(cut, ORD, F.coalesce(x != F.col("__before"), F.lit(False)), "__island")
+            # The last run is open: no input has ended it.
+            key = E("in", [], {"name": "__island"}, T("i64"))
+            whole = Resolved(r.fields, None, [key], None, False, True, None, [], r.start, r.factors, r.docs)
+            return self.fold(whole, cut.filter(F.col("__island") < most), cs, [F.col("__island")], ordered)
+        for s in [s for e in [r.where, *(e for _, e in r.fields)] for s in states_of(e)]:
+            name = f"__s{len(cs.states)}"
+            cut = chained.before(cut, ORD, cs.col(s.args[1]), name)
+            cs.states[id(s)] = name
+        if r.where is not None:
+            cut = cut.filter(cs.col(r.where))
+        return self.project(r, cut, cs)
+
+    @staticmethod
+    def differing(rows: DataFrame, before: Column, now: str) -> DataFrame:
+        """Rows whose value is not the one before, or not known to be."""
+        return rows.withColumn("__same", before == F.col(now)).filter(~F.coalesce("__same", F.lit(False))).drop("__same", "__before")
+
     def machine(self, r: Resolved, df: DataFrame, ordered: bool) -> DataFrame:
         """The commit machine over rows sorted by arrival within each key."""
         if df.isStreaming:

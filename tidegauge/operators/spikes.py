@@ -185,22 +185,18 @@ def stuck(limited: DataFrame, series: DataFrame, rules: Rules) -> DataFrame:
         .withColumn("last", F.max("run").over(Window.partitionBy(*block)))
         .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*block, "run")))
     )
-    whole = numbered.filter((F.col("n") >= rules.stuck)).select("metric_id", "s1", "s2", F.col("n").alias("run_length"))
-    edge = numbered.filter(((F.col("run") == 0) | (F.col("run") == F.col("last"))) & (F.col("n") < rules.stuck))
-    # Border runs of a series, two a block at most, in the order of time.  A long
-    # border run is whole already, but still lengthens its neighbours.
-    borders = (
-        numbered.filter((F.col("run") == 0) | (F.col("run") == F.col("last")))
-        .groupBy(*block, "run", "vh")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    border = (F.col("run") == 0) | (F.col("run") == F.col("last"))
+    whole = numbered.filter((F.col("n") >= rules.stuck) & ~border).select("metric_id", "s1", "s2", F.col("n").alias("run_length"))
+    edge = numbered.filter(border)
+    # Border runs of a series, two a block at most, in the order of time.
+    borders = edge.groupBy(*block, "run", "vh").agg(F.count(F.lit(1)).alias("n"))
     line = Window.partitionBy("s1", "s2").orderBy("block", "run")
     joined = (F.lag("vh").over(line) == F.col("vh")) & (F.lag("block").over(line) != F.col("block"))
     chains = (
         borders.withColumn("_new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
         .withColumn("_chain", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("run_length", F.sum("n").over(Window.partitionBy("s1", "s2", "_chain")))
-        .filter((F.col("run_length") >= rules.stuck) & (F.col("n") < rules.stuck))
+        .filter(F.col("run_length") >= rules.stuck)
         .select(*block, "run", "run_length")
     )
     long_edges = edge.join(chains, [*block, "run"]).select("metric_id", "s1", "s2", "run_length")

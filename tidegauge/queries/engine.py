@@ -196,20 +196,47 @@ PROGRAMS: dict[str, tuple[str, str | None]] = {
     ),
     "every_sliding_sessions": (
         """FROM events SELECT event_id, ONCE EVERY 1h event_id AS picked, RECALL(0.1, 2h, event_type, start) AS old GROUP BY user_id KEEP""",
-        None,
+        f"""WITH RECURSIVE {_E}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start, event_id) AS k,
+ row_number() OVER (PARTITION BY user_id, event_type ORDER BY start, event_id) AS j FROM e),
+ p AS (SELECT user_id, k, event_id, start AS last, true AS hit FROM o WHERE k = 1
+ UNION ALL SELECT o.user_id, o.k, o.event_id, CASE WHEN o.start >= p.last + 3600 THEN o.start ELSE p.last END, o.start >= p.last + 3600
+ FROM p JOIN o ON o.user_id = p.user_id AND o.k = p.k + 1),
+ q AS (SELECT user_id, event_type, j, event_id, start AS first, false AS old FROM o WHERE j = 1
+ UNION ALL SELECT o.user_id, o.event_type, o.j, o.event_id, CASE WHEN o.start - q.first <= 7200 THEN q.first ELSE o.start END, o.start - q.first <= 7200
+ FROM q JOIN o ON o.user_id = q.user_id AND o.event_type = q.event_type AND o.j = q.j + 1)
+ SELECT p.event_id, CASE WHEN hit THEN p.event_id END AS picked, old FROM p JOIN q USING (event_id)""",
     ),
     "smoothing": (
         """FROM events SELECT event_id, SMOOTH(0.3, value) AS s, SMOOTH(0.5, 0.3, 0.9, value) AS holt, SMOOTH(0.5, 0.3, 0.2, 6, 0.9, value) AS season, FIT (LATEST 5 value) AS f,
- FIT_MULTI(10, value, start, 1) AS m GROUP BY event_type KEEP""",
-        None,
+ FIT_MULTI(10, value, event_id, 1) AS m GROUP BY event_type KEEP""",
+        f"""WITH RECURSIVE {_E}, o AS (SELECT event_id, event_type, value AS v, row_number() OVER w AS k, lag(value) OVER w AS v1, lag(value, 4) OVER w AS v4
+ FROM e WINDOW w AS (PARTITION BY event_type ORDER BY start, event_id)),
+ s AS (SELECT event_type, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::DOUBLE AS x, 0.0::DOUBLE AS hl, 0.0::DOUBLE AS hb, 0.0::DOUBLE AS wl, 0.0::DOUBLE AS wb,
+ [0, 0, 0, 0, 0, 0]::DOUBLE[] AS ws FROM (SELECT DISTINCT event_type FROM o)
+ UNION ALL SELECT event_type, k, event_id, x, level, 0.3 * (level - hl) + 0.7 * 0.9 * hb, wlevel, 0.3 * (wlevel - wl) + 0.7 * 0.9 * wb, ws[2:] || [0.2 * (v - wguess) + 0.8 * ws[1]]
+ FROM (SELECT o.event_type, o.k, o.event_id, v, CASE WHEN x IS NULL THEN v ELSE x * 0.7 + v * 0.3 END AS x, hl, hb, 0.5 * v + 0.5 * (hl + 0.9 * hb) AS level,
+ wl, wb, ws, wl + 0.9 * wb AS wguess, 0.5 * (v - ws[1]) + 0.5 * (wl + 0.9 * wb) AS wlevel FROM s JOIN o ON o.event_type = s.event_type AND o.k = s.k + 1)),
+ m AS (SELECT b.event_id, count(*) AS n, regr_intercept(a.v, a.event_id - b.event_id) AS m, any_value(a.v * (a.event_id * b.event_id + 1) / (a.event_id * a.event_id + 1)) AS one
+ FROM o b JOIN o a ON a.event_type = b.event_type AND a.k BETWEEN b.k - 10 AND b.k - 1 GROUP BY b.event_id)
+ SELECT event_id, s.x AS s, hl + 0.9 * hb AS holt, wl + 0.9 * wb + ws[1] AS season, CASE WHEN v4 IS NOT NULL THEN v1 + (v1 - v4) / 3 END AS f,
+ CASE WHEN m.n IS NULL THEN 0 WHEN m.n = 1 THEN one ELSE m.m END AS m FROM s JOIN o USING (event_id) LEFT JOIN m USING (event_id)""",
     ),
     "heavy_hitters": (
         """FROM events SELECT event_id, LIST TOP 2 event_type AS top, RANK OF event_type IN TOP 2 AS rank, IS event_type IN TOP 2 AS hit""",
-        None,
+        f"""WITH {_E}, o AS (SELECT event_id, event_type, row_number() OVER (ORDER BY start, event_id) AS k FROM e),
+ t AS (SELECT event_type AS x, min(k) AS first FROM o GROUP BY ALL),
+ c AS (SELECT event_id, event_type, k, x, first, sum(CASE WHEN event_type = x THEN 1 ELSE 0 END) OVER (PARTITION BY x ORDER BY k) AS n FROM o, t),
+ r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, first) AS rank FROM c WHERE n > 0)
+ SELECT event_id, list(x ORDER BY rank) FILTER (WHERE rank <= 2) AS top, max(rank) FILTER (WHERE x = event_type AND rank <= 2) AS rank,
+ coalesce(bool_or(x = event_type AND rank <= 2), false) AS hit FROM r GROUP BY event_id""",
     ),
     "sort_buffer": (
-        """FROM events SORT LAST 16 BY value, event_id SELECT event_id, value""",
-        None,
+        """FROM customer SORT LAST 16 BY c_acctbal, c_custkey SELECT c_custkey, c_acctbal, LAG c_custkey AS before KEEP""",
+        """WITH RECURSIVE o AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) AS k FROM customer),
+ b AS (SELECT 0::BIGINT AS k, []::STRUCT(v DOUBLE, i BIGINT)[] AS rows, NULL::STRUCT(v DOUBLE, i BIGINT) AS got
+ UNION ALL SELECT k, CASE WHEN len(x) >= 16 THEN x[2:] ELSE x END, CASE WHEN len(x) >= 16 THEN x[1] END
+ FROM (SELECT o.k, list_sort(list_append(rows, struct_pack(v := o.c_acctbal, i := o.c_custkey))) AS x FROM b JOIN o ON o.k = b.k + 1))
+ SELECT got.i AS c_custkey, got.v AS c_acctbal, lag(got.i) OVER (ORDER BY k) AS before FROM b WHERE got IS NOT NULL""",
     ),
     "samples": (
         """FROM events SELECT event_type, LENGTH (SAMPLE(10, value)) AS n, SMALLEST 2 value BY value AS low, start // 86400 AS day GROUP BY event_type, start // 86400 COMMIT AFTER in.start > (out.day + 2) * 86400""",

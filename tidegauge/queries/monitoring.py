@@ -239,6 +239,20 @@ u AS (SELECT stream, entity, t, got, CASE WHEN isfinite(v) THEN v::DECIMAL(38,6)
 p AS (SELECT stream, entity, CAST(floor(t / 300) * 300 AS BIGINT) AS period_start, got, v FROM u),
 e AS (SELECT *, greatest(0, ceil((got - (period_start + 330)) / 30.0)) AS epoch FROM p)"""
 
+_SPIKES = f"""{_READINGS},
+g AS (SELECT * FROM r WHERE type_name IN (SELECT type_name FROM metric_type WHERE ds_type = 'gauge')),
+x AS (SELECT metric_id, host, plugin_name, plugin_instance, type_name, attribute, "time", unnest("values") AS v, unnest(range(len("values"))) AS pos FROM g),
+y AS (SELECT x.*, (NOT isfinite(v) OR coalesce(v < min_value, false) OR coalesce(v > max_value, false)) AS bad
+ FROM x JOIN metric_type t ON t.type_name = x.type_name AND t.value_pos = x.pos AND t.ds_type = 'gauge' WHERE v IS NOT NULL),
+c AS (SELECT *, median(v) FILTER (WHERE NOT bad) OVER s AS med, min(v) FILTER (WHERE NOT bad) OVER s AS lo, max(v) FILTER (WHERE NOT bad) OVER s AS hi FROM y
+ WINDOW s AS (PARTITION BY host, plugin_name, plugin_instance, type_name, attribute, pos)),
+k AS (SELECT *, median(abs(v - med)) FILTER (WHERE NOT bad) OVER (PARTITION BY host, plugin_name, plugin_instance, type_name, attribute, pos) AS mad FROM c),
+vary AS (SELECT DISTINCT host, plugin_name, plugin_instance, type_name, attribute FROM k WHERE lo < hi),
+ch AS (SELECT *, CASE WHEN "values" IS NOT DISTINCT FROM lag("values") OVER o THEN 0 ELSE 1 END AS chg FROM g
+ WINDOW o AS (PARTITION BY host, plugin_name, plugin_instance, type_name, attribute ORDER BY "time", metric_id)),
+il AS (SELECT *, sum(chg) OVER (PARTITION BY host, plugin_name, plugin_instance, type_name, attribute ORDER BY "time", metric_id) AS island FROM ch),
+rl AS (SELECT *, count(*) OVER (PARTITION BY host, plugin_name, plugin_instance, type_name, attribute, island) AS n FROM il)"""
+
 SQL = {
     "p1_found": f"""WITH {_RECORDS} SELECT DISTINCT stream, entity, period_start FROM p
  WHERE got > period_start + 330 AND got <= period_start + 3900""",
@@ -258,22 +272,29 @@ SQL = {
  SELECT stream, entity, period_start, count(*) FILTER (WHERE epoch = 0) AS first_n,
  count(*) FILTER (WHERE epoch <= 119) AS final_n, count(*) FILTER (WHERE epoch BETWEEN 1 AND 119) AS late_n,
  count(*) FILTER (WHERE epoch > 119) AS dropped_n FROM y GROUP BY ALL""",
-    "p4_found": f"""WITH {_READINGS},
-g AS (SELECT * FROM r WHERE type_name IN (SELECT type_name FROM metric_type WHERE ds_type = 'gauge')),
-x AS (SELECT metric_id, host, plugin_name, plugin_instance, type_name, attribute, "time", unnest("values") AS v, unnest(range(len("values"))) AS pos FROM g),
-y AS (SELECT x.*, (NOT isfinite(v) OR coalesce(v < min_value, false) OR coalesce(v > max_value, false)) AS bad
- FROM x JOIN metric_type t ON t.type_name = x.type_name AND t.value_pos = x.pos AND t.ds_type = 'gauge' WHERE v IS NOT NULL),
-c AS (SELECT *, median(v) FILTER (WHERE NOT bad) OVER s AS med, min(v) FILTER (WHERE NOT bad) OVER s AS lo, max(v) FILTER (WHERE NOT bad) OVER s AS hi FROM y
- WINDOW s AS (PARTITION BY host, plugin_name, plugin_instance, type_name, attribute, pos)),
-k AS (SELECT *, median(abs(v - med)) FILTER (WHERE NOT bad) OVER (PARTITION BY host, plugin_name, plugin_instance, type_name, attribute, pos) AS mad FROM c),
-vary AS (SELECT DISTINCT host, plugin_name, plugin_instance, type_name, attribute FROM k WHERE lo < hi),
-ch AS (SELECT *, CASE WHEN "values" IS NOT DISTINCT FROM lag("values") OVER o THEN 0 ELSE 1 END AS chg FROM g
- WINDOW o AS (PARTITION BY host, plugin_name, plugin_instance, type_name, attribute ORDER BY "time", metric_id)),
-il AS (SELECT *, sum(chg) OVER (PARTITION BY host, plugin_name, plugin_instance, type_name, attribute ORDER BY "time", metric_id) AS island FROM ch),
-rl AS (SELECT *, count(*) OVER (PARTITION BY host, plugin_name, plugin_instance, type_name, attribute, island) AS n FROM il)
+    "p4_found": f"""WITH {_SPIKES}
 SELECT metric_id FROM y WHERE bad
 UNION SELECT metric_id FROM k WHERE NOT bad AND lo < hi AND abs(v - med) > 12 * mad
 UNION SELECT metric_id FROM rl JOIN vary ON rl.host = vary.host AND rl.plugin_name = vary.plugin_name
+ AND rl.plugin_instance IS NOT DISTINCT FROM vary.plugin_instance AND rl.type_name IS NOT DISTINCT FROM vary.type_name
+ AND rl.attribute IS NOT DISTINCT FROM vary.attribute WHERE n >= 15""",
+    "p4_flags": f"""WITH {_SPIKES},
+h AS (SELECT k.*, CAST(floor((t."time" % 86400) / 3600) AS INT) AS hour FROM k JOIN r t USING (metric_id)),
+w AS (SELECT *, list_sort(list(v) FILTER (WHERE NOT bad) OVER s) AS hv, count(*) FILTER (WHERE NOT bad) OVER (PARTITION BY host, plugin_name, plugin_instance, type_name, attribute, pos) AS cnt
+ FROM h WINDOW s AS (PARTITION BY host, plugin_name, plugin_instance, type_name, attribute, pos, hour)),
+z AS (SELECT *, v - med - coalesce(least(greatest(hv[CAST(ceil(len(hv) / 2.0) AS INT)] - med, -2 * mad), 2 * mad), 0) AS residual FROM w WHERE NOT bad AND lo < hi),
+pk AS (SELECT *, (abs(residual) - 4 * mad) / mad AS e FROM z WHERE abs(residual) - 4 * mad > 0),
+own AS (SELECT host, plugin_name, plugin_instance, type_name, attribute, pos, count(*) AS n, sum(e) AS se, sum(e * e) AS se2 FROM pk WHERE mad > 0 AND e <= 5 GROUP BY ALL),
+al AS (SELECT sum(n) AS n, sum(se) / sum(n) AS m, greatest(sum(se2) / sum(n) - (sum(se) / sum(n)) ** 2, 1e-12) AS s2, (SELECT count(*) FROM z WHERE mad > 0) AS total FROM own),
+sh AS (SELECT n AS all_n, m, n / total AS rate, least(greatest((1 - m * m / s2) / 2, -0.5), 0.3) AS shape FROM al),
+cu AS (SELECT pk.*, coalesce(own.n, 0) AS n, all_n, CASE WHEN all_n IS NULL OR all_n < 30 THEN 4 * mad ELSE 4 * mad + mad * greatest(
+ (coalesce(se, 0) + 10 * m) / (coalesce(own.n, 0) + 10) * (1 - shape) / shape * (((coalesce(own.n, 0) + 10) / (cnt + 10 / rate) / 1e-4) ** shape - 1), 0) END AS cutoff
+ FROM pk CROSS JOIN sh LEFT JOIN own ON pk.host = own.host AND pk.plugin_name = own.plugin_name AND pk.plugin_instance IS NOT DISTINCT FROM own.plugin_instance
+ AND pk.type_name = own.type_name AND pk.attribute IS NOT DISTINCT FROM own.attribute AND pk.pos = own.pos)
+SELECT metric_id, 'implausible' AS rule, CAST(pos AS INT) AS pos, v, NULL::DOUBLE AS centre, NULL::DOUBLE AS scale, NULL::DOUBLE AS cutoff, NULL::VARCHAR AS fit FROM y WHERE bad
+UNION ALL SELECT metric_id, 'tail', pos, v, med, mad, cutoff, CASE WHEN mad = 0 OR all_n IS NULL OR all_n < 30 THEN 'none' WHEN n >= 10 THEN 'series' ELSE 'pooled' END FROM cu
+ WHERE CASE WHEN all_n IS NULL OR all_n < 30 THEN true ELSE abs(residual) > cutoff END
+UNION ALL SELECT metric_id, 'stuck', NULL, NULL, NULL, NULL, n, NULL FROM rl JOIN vary ON rl.host = vary.host AND rl.plugin_name = vary.plugin_name
  AND rl.plugin_instance IS NOT DISTINCT FROM vary.plugin_instance AND rl.type_name IS NOT DISTINCT FROM vary.type_name
  AND rl.attribute IS NOT DISTINCT FROM vary.attribute WHERE n >= 15""",
     "p5_found": f"""WITH {_FLOWS}, s AS (SELECT addr[1] AS addr, start_ms, end_ms FROM f

@@ -500,8 +500,42 @@ def _epoch(y: int, m: int, d: int, secs: float) -> float | None:
         return None
 
 
-fn("format_time", STRING, format_time)
-fn("parse_time", FLOAT, parse_time)
+#: Directives that one pattern letter group of the column's formatter gives.
+_PATTERNS = {
+    "Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "y": "yy", "F": "yyyy-MM-dd", "T": "HH:mm:ss",
+    "I": "hh", "p": "a", "a": "EEE", "A": "EEEE", "b": "MMM", "B": "MMMM",
+}
+
+
+def _format_time_col(e: E, fmt: Column, t: Column) -> Column | None:
+    """In generated code for a literal format of these directives, in sessions that keep UTC."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    if e.args[0].op != "lit" or spark is None or spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT", "Z"):
+        return None
+    pattern, fixed = "", ""
+    for directive, text in [*re.findall(r"%(.)|([^%]+)", e.args[0].at["v"], re.S), ("", "")]:
+        if directive in _PATTERNS or not (directive or text):
+            pattern += ("'" + fixed.replace("'", "''") + "'" if fixed else "") + _PATTERNS.get(directive, "")
+            fixed = ""
+        elif text or directive in "nt%":
+            fixed += text or {"n": "\n", "t": "\t", "%": "%"}[directive]
+        else:
+            return None
+    return F.date_format(F.timestamp_micros(F.floor(t) * 1_000_000), pattern)
+
+
+def _parse_time_col(e: E, s: Column) -> Column | None:
+    """A literal that does not look at the clock is parsed once."""
+    if e.args[0].op != "lit" or e.args[0].at["v"] is None:
+        return None
+    a, b = (parse_time(e, e.args[0].at["v"], now) for now in (0.0, 1e9 + 12_345))
+    return F.lit(a).cast("double") if a == b else None
+
+
+fn("format_time", STRING, format_time, _format_time_col)
+fn("parse_time", FLOAT, parse_time, _parse_time_col)
 
 
 # -- arrays and structures

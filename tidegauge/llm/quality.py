@@ -61,7 +61,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CELL = re.compile(r"\t+|\s*\|\s*|\s*\.{3,}\s*| {2,}")
 _ENTRY = re.compile(r"^\s*(?:[—–•*\-]\s|\(?\d{1,4}[.)]\s|[Nn][or]\.\s*\d+)")
 _PIECE = re.compile(r".{1,%d}(?:\s+|$)|\S{%d,}?(?:\s+|$)" % (WRAP, WRAP), re.S)
-_SYMBOL = re.compile(r"[^\w\s]|_")
+_DIGITS = "0123456789"
+_NONE: list[int] = []
+#: What an entry may start with.
+_MARKS = frozenset("—–•*-(Nn" + _DIGITS)
 _ENDS = ".!?:;,)]»”\"'’"
 
 FIELDS = [
@@ -162,14 +165,18 @@ def measure(text: str | None, common: frozenset[str], weights: dict[str, float]
         if line[0].isspace():
             margin = indent[i] = len(line[: len(line) - len(line.lstrip())].expandtabs())
         found = _WORD.findall(bare)
-        letters += len("".join(found))
+        plain = len("".join(found))
+        letters += plain
+        dense = len(bare) - bare.count(" ") - bare.count("\t")
         counts.append((
-            len(bare), len(found), len(_SYMBOL.findall(bare)), len(bare) - bare.count(" "),
+            len(bare), len(found), dense - plain - sum(map(bare.count, _DIGITS)), dense,
             sum(map(is_common, map(str.lower, found))), bare.count(",") + bare.count(";") + bare.count(":"),
             sum(map(str.isupper, [w[0] for w in found])), bare[-1] in _ENDS,
         ))
-        stops.append([margin + m.end() for m in _CELL.finditer(bare)])
-        entry.append(_ENTRY.match(bare) is not None)
+        # The patterns run only where one of their marks is.
+        cells = "  " in bare or "|" in bare or "..." in bare or "\t" in bare
+        stops.append([margin + m.end() for m in _CELL.finditer(bare)] if cells else _NONE)
+        entry.append(bare[0] in _MARKS and _ENTRY.match(bare) is not None)
     sizes, words, odd, dense, known, commas, upper, ends = np.array(counts, float).T
     entry = np.array(entry)
     inset = np.zeros(n, bool)

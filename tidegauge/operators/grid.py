@@ -46,26 +46,37 @@ RIDGE = 1e-6
 BLOCK = 64
 
 
-def _solve(links: np.ndarray, holes: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
-    """``x`` of S x = ``right`` over the holes, S given by its band: ``links[i, j]``
-    ties hole i to the slot ``j - width + 1`` after it.  Block elimination, linear
-    in the number of holes."""
-    size = max(BLOCK, width)
-    cuts = range(0, len(holes), size)
+def _bands(holes: np.ndarray, width: int) -> list[tuple]:
+    """Where the blocks of the system over the holes lie in its band: for each block of
+    rows its own, the one before and the one after (None at the ends), as places in
+    the flat band and which of them are inside."""
+    size, n = max(BLOCK, width), len(holes)
 
-    def part(a: int, b: int) -> np.ndarray:
-        i, j = np.arange(a, min(a + size, len(holes))), np.arange(b, min(b + size, len(holes)))
+    def places(a: int, b: int) -> tuple | None:
+        if not 0 <= b < n:
+            return None
+        i, j = np.arange(a, min(a + size, n)), np.arange(b, min(b + size, n))
         lag = holes[j][None, :] - holes[i][:, None]
-        return np.where(np.abs(lag) < width, links[i[:, None], np.clip(lag, 1 - width, width - 1) + width - 1], 0.0)
+        return i[:, None] * (2 * width - 1) + np.clip(lag, 1 - width, width - 1) + width - 1, (np.abs(lag) < width).astype(float)
+
+    return [(slice(a, a + size), places(a, a), places(a, a - size), places(a, a + size)) for a in range(0, n, size)]
+
 
+def _solve(links: np.ndarray, holes: np.ndarray, right: np.ndarray, width: int, bands: list[tuple] | None = None) -> np.ndarray:
+    """``x`` of S x = ``right`` over the holes, S given by its band: ``links[i, j]``
+    ties hole i to the slot ``j - width + 1`` after it.  Block elimination, linear
+    in the number of holes; ``bands`` is ``_bands`` of the same holes."""
+    band = links.ravel()
     ahead, parts = [], []
-    for a in cuts:
-        own, rest = part(a, a), right[a : a + size]
-        if a:
-            back = part(a, a - size)
+    for rows, own_at, back_at, after_at in bands or _bands(holes, width):
+        own, rest = band[own_at[0]] * own_at[1], right[rows]
+        if back_at is not None:
+            back = band[back_at[0]] * back_at[1]
             own, rest = own - back @ ahead[-1], rest - back @ parts[-1]
-        after = part(a, a + size)
-        both = np.linalg.solve(own, np.column_stack((rest, after)))
+        if after_at is None:
+            parts.append(np.linalg.solve(own, rest))
+            break
+        both = np.linalg.solve(own, np.column_stack((rest, band[after_at[0]] * after_at[1])))
         parts.append(both[:, 0])
         ahead.append(both[:, 1:])
     for k in range(len(parts) - 2, -1, -1):
@@ -114,12 +125,13 @@ def ssa_impute(x: np.ndarray, window: int = 16, rank: int = 3, rounds: int = ROU
     around = np.clip(around, 0, n - 1)
     diagonal, at = np.arange(width)[:, None], np.arange(width)[None, :]
     off = diagonal + at >= width
+    stretch = np.minimum(diagonal + at, width - 1)
     sums = np.zeros((width, width + 1))
+    windows, bands = np.arange(rows)[:, None] + np.arange(width), _bands(holes, width)
     line, far = y[holes], FAR * np.abs(y[known]).max()
     before, least, last, reach, done = y[holes], np.inf, None, 1.0, False
     for _ in range(rounds):
-        hankel = np.lib.stride_tricks.sliding_window_view(y, width)
-        block = np.ascontiguousarray(hankel)
+        block = y[windows]
         values, vectors = np.linalg.eigh(block.T @ block)
         distance = values[:-rank].sum()
         if reach > 1 and distance > least:
@@ -128,13 +140,13 @@ def ssa_impute(x: np.ndarray, window: int = 16, rank: int = 3, rounds: int = ROU
         least = distance
         rest = vectors[:, :-rank]
         residual = rest @ rest.T
-        np.cumsum(np.where(off, 0.0, residual[at, np.minimum(diagonal + at, width - 1)]), axis=1, out=sums[:, 1:])
+        np.cumsum(np.where(off, 0.0, residual[at, stretch]), axis=1, out=sums[:, 1:])
         links = sums[lag, upper] - sums[lag, lower]
         links[outside] = 0.0
         slope = np.einsum("ij,ij->i", links, y[around])
         # Keeps the system regular where the subspace leaves a hole free; no fixed point moves.
         links[:, width - 1] += RIDGE
-        step = _solve(links, holes, slope, width)
+        step = _solve(links, holes, slope, width, bands)
         size = np.sqrt(np.mean(step**2))
         if size < tol * scale:
             y[holes] -= step
